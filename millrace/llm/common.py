@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,15 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds at most; the longest texts are then still a bounded batch.
-BATCH_ROWS = 500
-#: Where intermediate tables go if the session names no shared folder (tests, notebooks).
-OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
-
+from millrace.session import shared_dir, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["as_bytes", "buffers", "map_batches", "shared_dir", "small_batches", "table", "written"]
 
+#: Rows that one Arrow batch holds at most; the longest texts are then still a bounded batch.
+BATCH_ROWS = 500
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that are sent to Python by rows, and by bytes where Spark knows the setting."""
@@ -26,18 +22,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
