@@ -184,9 +184,10 @@ class _Shared:
         return self.broadcast.value
 
 
-def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df with n_words, hit_runs (array<int>: start, end, ... in words) and hit_items (array<string>)."""
-    out = df.withColumns({"n_words": F.lit(0).cast("long"), "hit_runs": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
+def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """df with n_words, hit_runs (array<int>: start, end, ... in words) and hit_items (array<string>), with prefix before each name."""
+    n_words, hit_runs, hit_items = (prefix + n for n in ("n_words", "hit_runs", "hit_items"))
+    out = df.withColumns({n_words: F.lit(0).cast("long"), hit_runs: F.array().cast("array<int>"), hit_items: F.array().cast("array<string>")})
     context = df.sparkSession.sparkContext
     for block in blocks(items, item_id, item_text, block_bytes):
         shared = _Shared(context.broadcast(block))
@@ -195,7 +196,7 @@ def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "
             automaton = _automaton(shared, window)
             for b in batches:
                 column = lambda name, b=b: b.column(b.schema.get_field_index(name))
-                texts, runs, names, counts = column(text_col).cast(pa.binary()).to_pylist(), column("hit_runs").to_pylist(), column("hit_items").to_pylist(), []
+                texts, runs, names, counts = column(text_col).cast(pa.binary()).to_pylist(), column(hit_runs).to_pylist(), column(hit_items).to_pylist(), []
                 for k, text in enumerate(texts):
                     words = words_of(text or b"")
                     found, items_found = automaton.stream(words)
@@ -203,7 +204,7 @@ def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "
                     if found:
                         runs[k] = merged(runs[k], found)
                         names[k] = sorted({*names[k], *items_found})
-                made = {"n_words": pa.array(counts, pa.int64()), "hit_runs": pa.array(runs, pa.list_(pa.int32())), "hit_items": pa.array(names, pa.list_(pa.string()))}
+                made = {n_words: pa.array(counts, pa.int64()), hit_runs: pa.array(runs, pa.list_(pa.int32())), hit_items: pa.array(names, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([made.get(n, b.column(k)) for k, n in enumerate(b.schema.names)], names=b.schema.names)
 
         out = map_batches(out, run, out.schema)
@@ -238,12 +239,15 @@ def without_runs(text: str, runs: list[int]) -> str:
 
 def clean(df: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.8, text_col: str = "text") -> DataFrame:
     """df without the hit runs of its texts, and without rows of which more than most_coverage of the words are hit."""
-    found = scan(df, items, window, text_col=text_col)
-    kept = found.where((F.size("hit_runs") == 0) | (n_hit() <= most_coverage * F.col("n_words")))
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    found = scan(df, items, window, text_col=text_col, prefix=prefix)
+    kept = found.where((F.size(prefix + "hit_runs") == 0) | (n_hit(prefix + "hit_runs") <= most_coverage * F.col(prefix + "n_words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, runs = b.schema.get_field_index(text_col), b.column(b.schema.get_field_index("hit_runs")).to_pylist()
+            k, runs = b.schema.get_field_index(text_col), b.column(b.schema.get_field_index(prefix + "hit_runs")).to_pylist()
             texts = [without_runs(t, r) if r else t for t, r in zip(b.column(k).to_pylist(), runs, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == k else b.column(j) for j in range(len(df.columns))], names=df.columns)
 

@@ -89,7 +89,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if not n:
         return words
     if n < size:
-        whole = np.uint64(n) * _odd[9] + (words * _odd[10 : 10 + n]).sum(dtype=np.uint64)
+        whole = (words * _odd[10 : 10 + n]).sum(dtype=np.uint64) ^ _odd[9 - n]
         return mixed(np.array([whole], np.uint64))
     runs = words[: n - size + 1] * _odd[1]
     for k in range(1, size):
