@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-A pre-token's merges are driven by a rank queue: one bucket of linked-list positions for each merge rank
+The merges of pre-tokens are driven by a rank queue: one bucket of linked-list positions for each merge rank
 that is waiting, and a two-level bitmap over the ranks in which find-first-set gives the next rank to
 merge. An entry whose pair has changed since it was queued is skipped when it comes up. The work is
-O(n log n) in a pre-token's length, so a megabyte without white space is no special case.
+in proportion to the number of merges, so a megabyte without white space is no special case.
 
 Nulls count as empty texts; an empty text has no tokens. Texts with equal bytes get equal ids.
 """
@@ -11,6 +11,7 @@ Nulls count as empty texts; an empty text has no tokens. Texts with equal bytes
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,8 +27,11 @@ from millrace.llm.common import map_batches
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Ranks in one word of the bitmap: 2 to this power.
 WORD_SHIFT, WORD_MASK = 8, 255
+BITS = [1 << k for k in range(256)]
 #: Chunks in each of the two generations that a worker remembers, and the longest that it remembers.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 40
+#: Characters of texts that are worked on at a time.
+GROUP_CHARS = 500_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -35,36 +39,49 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line)}
 
 
-def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the lowest-ranked pair is merged first, of equal ones the leftmost."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Ids of each pre-token: its lowest-ranked pair is merged first, of equal ones the leftmost.
+
+    All pre-tokens share one queue over their joined bytes, with no pairs across their borders. A token is known by the place
+    of its first byte; pair holds the rank of the pair that starts there.
+    """
+    made = [[whole] if (whole := ranks.get(piece)) is not None else [] for piece in pieces]
+    rest = [piece for piece, ids in zip(pieces, made, strict=True) if not ids]
+    text = b"".join(rest)
+    n = len(text)
     get = ranks.get
     end = list(range(1, n + 1))
     before = list(range(-1, n))
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
+    first = bytearray(n + 1)
+    pair = list(map(get, map(bytes, zip(text, text[1:], strict=False))))
+    pair.append(None)
+    at = 0
+    for piece in rest:
+        first[at] = 1
+        before[at] = -1
+        at += len(piece)
+        pair[at - 1] = None
+    first[n] = 1
     buckets: dict[int, list[int]] = {}
-    words = {}
-    top = 0
     for i, rank in enumerate(pair):
-        if rank >= 0:
+        if rank is not None:
             if rank in buckets:
                 buckets[rank].append(i)
             else:
                 buckets[rank] = [i]
-                word = rank >> WORD_SHIFT
-                words[word] = words.get(word, 0) | 1 << (rank & WORD_MASK)
-                top |= 1 << word
+    words: dict[int, int] = {}
+    top = 0
+    for rank in buckets:
+        words[rank >> WORD_SHIFT] = words.get(rank >> WORD_SHIFT, 0) | BITS[rank & WORD_MASK]
+        top |= BITS[rank >> WORD_SHIFT]
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
         low = bits & -bits
         rank = (word << WORD_SHIFT) + low.bit_length() - 1
-        words[word] = bits = bits ^ low
-        if not bits:
-            top ^= 1 << word
+        words[word] = bits ^ low
+        if bits == low:
+            top ^= BITS[word]
         waiting = buckets.pop(rank)
         if len(waiting) > 1:
             waiting.sort()
@@ -73,47 +90,46 @@ def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 continue
             middle = end[i]
             stop = end[i] = end[middle]
-            pair[middle] = pair[i] = -1
-            lowest = rank
-            if stop < n:
+            pair[middle] = None
+            lower = False
+            if first[stop]:
+                pair[i] = None
+            else:
                 before[stop] = i
-                new = get(piece[i : end[stop]])
+                new = pair[i] = get(text[i : end[stop]])
                 if new is not None:
-                    pair[i] = lowest = new
+                    lower = new < rank
                     if new in buckets:
                         buckets[new].append(i)
                     else:
                         buckets[new] = [i]
-                        word = new >> WORD_SHIFT
-                        words[word] = words.get(word, 0) | 1 << (new & WORD_MASK)
-                        top |= 1 << word
+                        words[new >> WORD_SHIFT] = words.get(new >> WORD_SHIFT, 0) | BITS[new & WORD_MASK]
+                        top |= BITS[new >> WORD_SHIFT]
             left = before[i]
             if left >= 0:
-                new = get(piece[left:stop])
-                if new is None:
-                    pair[left] = -1
-                else:
-                    pair[left] = new
-                    if new < lowest:
-                        lowest = new
+                new = pair[left] = get(text[left:stop])
+                if new is not None:
+                    lower |= new < rank
                     if new in buckets:
                         buckets[new].append(left)
                     else:
                         buckets[new] = [left]
-                        word = new >> WORD_SHIFT
-                        words[word] = words.get(word, 0) | 1 << (new & WORD_MASK)
-                        top |= 1 << word
-            if lowest < rank and k + 1 < len(waiting):  # a lower rank goes first; the rest waits again
+                        words[new >> WORD_SHIFT] = words.get(new >> WORD_SHIFT, 0) | BITS[new & WORD_MASK]
+                        top |= BITS[new >> WORD_SHIFT]
+            if lower and k + 1 < len(waiting):  # a lower rank goes first; the rest waits again
                 buckets[rank] = waiting[k + 1 :]
-                word = rank >> WORD_SHIFT
-                words[word] |= 1 << (rank & WORD_MASK)
-                top |= 1 << word
+                words[rank >> WORD_SHIFT] |= BITS[rank & WORD_MASK]
+                top |= BITS[rank >> WORD_SHIFT]
                 break
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return ids
+    i = 0
+    for ids in made:
+        if not ids:
+            ids.append(ranks[text[i : end[i]]])
+            i = end[i]
+            while not first[i]:
+                ids.append(ranks[text[i : end[i]]])
+                i = end[i]
+    return made
 
 
 class Codec:
@@ -130,31 +146,61 @@ class Codec:
         self.chunk = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
+
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pre-tokens; those of short ones are remembered."""
+        known = self.pieces
+        if new := {p for p in pieces if p not in known}:
+            if len(known) >= CACHE_ENTRIES:
+                kept = {p: known[p] for p in pieces if p in known}
+                known.clear()
+                known.update(kept)
+            fresh = list(new)
+            known.update(zip(fresh, merge_all([p.encode() for p in fresh], self.ranks), strict=True))
+        made = [known[p] for p in pieces]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del known[p]
+        return made
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in merge_ids(piece.encode(), self.ranks)]
+        return [i for ids in self.ids_of(self.pattern.findall(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def entry(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """Of a chunk: number of ids, ids in decimal joined by a space, decoded bytes."""
-        if (made := self.older.get(chunk)) is None:
-            ids = self.encode(chunk)
-            made = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known, self.older = {}, self.known
-            self.known[chunk] = made
+    def learn(self, chunks: set[str]) -> None:
+        """Of each chunk: number of ids, ids in decimal joined by a space, decoded bytes."""
+        split = {c: self.pattern.findall(c) for c in chunks}
+        ids_of = iter(self.ids_of([p for pieces in split.values() for p in pieces]))
+        for chunk, pieces in split.items():
+            ids = [i for _ in pieces for i in next(ids_of)]
+            self.known[chunk] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, digest of the ids, digest of the bytes that they decode to."""
+        split = [self.chunk.findall(text) for text in texts]
+        new = {c for chunks in split for c in chunks}
+        if len(self.known) >= CACHE_ENTRIES:
+            self.known, self.older = {}, self.known
+        new.difference_update(self.known)
+        for c in [c for c in new if c in self.older]:
+            self.known[c] = self.older[c]
+            new.discard(c)
+        if new:
+            self.learn(new)
+        known, made = self.known, []
+        for chunks in split:
+            parts = [known[c] for c in chunks]
+            ids, back = hashlib.sha256(b" ".join([x[1] for x in parts])), hashlib.sha256(b"".join([x[2] for x in parts]))
+            made.append((sum([x[0] for x in parts]), ids.hexdigest(), back.hexdigest()))
+        for c in new:
+            if len(c) > CACHE_CHARS:
+                del known[c]
         return made
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        entry = self.entry
-        parts = [self.known.get(x) or entry(x) for x in self.chunk.findall(text)]
-        ids, back = hashlib.sha256(b" ".join([x[1] for x in parts])), hashlib.sha256(b"".join([x[2] for x in parts]))
-        return sum([x[0] for x in parts]), ids.hexdigest(), back.hexdigest()
-
 
 _codecs: dict[tuple[int, str], Codec] = {}
 
@@ -202,14 +248,29 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return map_batches(df.select(id_col, ids_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about GROUP_CHARS."""
+    run: list[str] = []
+    size = 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each text in one pass over it: token count and digests of ids and of decoded bytes."""
     shared = _share(df, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, pattern)
+        gc.disable()  # the caches hold no cycles, and each collection would go through them
         for b in batches:
-            made = [codec.digest(x) for x in b.column(1).to_pylist()]
+            made = [x for texts in groups(b.column(1).to_pylist()) for x in codec.digests(texts)]
             columns = [pa.array([x[k] for x in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
