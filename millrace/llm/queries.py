@@ -21,6 +21,12 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import repeats
+
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), 200, digest=True)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import decontam
 
@@ -60,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_neardup, op4_decontamination, op5_sharding, op6_secrets, op7_media, op8_bpe, op10_quality)
+    f.__name__: f for f in (op1_pii, op2_neardup, op3_repeats, op4_decontamination, op5_sharding, op6_secrets, op7_media, op8_bpe, op10_quality)
 }
 
 #: DuckDB SQL of those that SQL can express fast enough over whole tables.
