@@ -28,8 +28,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Ranks in one word of the bitmap: 2 to this power.
 WORD_SHIFT, WORD_MASK = 8, 255
 BITS = [1 << k for k in range(256)]
-#: Chunks in each of the two generations that a worker remembers, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 40
+#: Chunks in each of the two generations that a worker remembers, the longest that it remembers, and pre-tokens.
+CACHE_ENTRIES, CACHE_CHARS, CACHE_PIECES = 500_000, 40, 800_000
 #: Characters of texts that are worked on at a time.
 GROUP_CHARS = 500_000
 
@@ -152,7 +152,7 @@ class Codec:
         """Ids of pre-tokens; those of short ones are remembered."""
         known = self.pieces
         if new := {p for p in pieces if p not in known}:
-            if len(known) >= CACHE_ENTRIES:
+            if len(known) >= CACHE_PIECES:
                 kept = {p: known[p] for p in pieces if p in known}
                 known.clear()
                 known.update(kept)

@@ -59,6 +59,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm import lm
+
+    return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import quality
 
@@ -66,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_neardup, op3_repeats, op4_decontamination, op5_sharding, op6_secrets, op7_media, op8_bpe, op10_quality)
+    f.__name__: f for f in (op1_pii, op2_neardup, op3_repeats, op4_decontamination, op5_sharding, op6_secrets, op7_media, op8_bpe, op9_lm, op10_quality)
 }
 
 #: DuckDB SQL of those that SQL can express fast enough over whole tables.
