@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -179,8 +180,8 @@ class Codec:
             ids = [i for _ in pieces for i in next(ids_of)]
             self.known[chunk] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text: number of ids, digest of the ids, digest of the bytes that they decode to."""
+    def digests(self, texts: list[str], with_ids: bool = False) -> list[tuple]:
+        """Of each text: number of ids, digest of the ids, digest of the bytes that they decode to, and the ids if asked for."""
         split = [self.chunk.findall(text) for text in texts]
         new = {c for chunks in split for c in chunks}
         if len(self.known) >= CACHE_ENTRIES:
@@ -194,8 +195,9 @@ class Codec:
         known, made = self.known, []
         for chunks in split:
             parts = [known[c] for c in chunks]
-            ids, back = hashlib.sha256(b" ".join([x[1] for x in parts])), hashlib.sha256(b"".join([x[2] for x in parts]))
-            made.append((sum([x[0] for x in parts]), ids.hexdigest(), back.hexdigest()))
+            ids, back = b" ".join([x[1] for x in parts]), hashlib.sha256(b"".join([x[2] for x in parts]))
+            row = (sum([x[0] for x in parts]), hashlib.sha256(ids).hexdigest(), back.hexdigest())
+            made.append((*row, np.array(ids.split(), np.int32)) if with_ids else row)
         for c in new:
             if len(c) > CACHE_CHARS:
                 del known[c]
@@ -262,17 +264,20 @@ def groups(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each text in one pass over it: token count and digests of ids and of decoded bytes."""
+def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each text in one pass over it: token count, digests of ids and of decoded bytes, and the ids if asked for."""
     shared = _share(df, ranks_path)
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared, pattern)
         gc.disable()  # the caches hold no cycles, and each collection would go through them
         for b in batches:
-            made = [x for texts in groups(b.column(1).to_pylist()) for x in codec.digests(texts)]
-            columns = [pa.array([x[k] for x in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            made = [x for texts in groups(b.column(1).to_pylist()) for x in codec.digests(texts, with_ids)]
+            columns = [pa.array([x[k] for x in made], kinds[k]) for k in range(3 + with_ids)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
 
     one = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    return map_batches(one, run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(one, run, schema + ", ids array<int>" * with_ids)
