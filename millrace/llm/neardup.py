@@ -6,8 +6,8 @@ keeps its least hash. An empty bin takes the value of a bin that a fixed random
 
 Texts with equal sets are one class from the start. In a bucket of classes one is the centre, and the others are
 linked to it only, so a bucket of n gives n - 1 candidates. Candidates are confirmed on the full sets. Classes that
-are in one component already need no candidate between them; buckets that still hold several components get
-another centre in the next round, until a round confirms nothing new.
+are in one component already need no candidate between them; buckets that still hold several components get a few
+other centres in the next round, until a round confirms nothing new.
 
 Defined cases: empty and null texts have no shingles and are linked with nothing; a null id is larger than
 all others, and the component of null ids only is null (its rows are kept); rows with equal ids and texts are kept or not alike.
@@ -37,6 +37,8 @@ LONG_WORD = 64
 PART = 1 << 20
 #: Rounds of candidates at least and at most; more than the least only follow a round with new links.
 LEAST_ROUNDS, MOST_ROUNDS = 2, 12
+#: Centres of a bucket in a round after the first, in which most components have formed.
+MOST_CENTRES = 4
 NO_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20240229)
@@ -173,15 +175,15 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")), run, "a long, b long")
 
 
-def candidates(buckets: DataFrame, components: DataFrame | None, seed: int) -> DataFrame:
-    """Pairs (a, b): in each bucket of several components, its centre with each member of another component."""
+def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, centres: int) -> DataFrame:
+    """Pairs (a, b): in each bucket of several components, its centres with each member of another component."""
     rows = buckets.withColumn("c", F.col("node"))
     if components is not None:
         rows = buckets.join(components.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    centre = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"))).alias("m"))
-    centre = centre.where("low <> high").select("h", F.col("m.node").alias("centre"), F.col("m.c").alias("cc"))
-    pairs = rows.join(centre, "h").where("c <> cc")
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(seed * MOST_CENTRES + k)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"))) for k in range(centres)]
+    stars = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array(*drawn).alias("m")).where("low <> high").select("h", "m")
+    pairs = rows.join(stars, "h").select("node", "c", F.explode("m").alias("m")).where("c <> m.c")
+    return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -189,6 +191,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     size: words in a shingle. percent: of the union of two sets, the part in both from which they are linked.
     """
+    return linked(df, id_col, text_col, size, percent).drop("th").withColumnRenamed("id", id_col)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, all their columns, of which one stays for each component; of rows with equal id and text one."""
+    names = ["_".join(["", *[""] * k, "key"]) for k in range(len(df.columns) + 1)]
+    key, th = [n for n in names if n not in df.columns][:1] + [n + "_text" for n in names if n + "_text" not in df.columns][:1]
+    gone = linked(df, id_col, text_col, size, percent).where(~F.col("kept")).select(F.coalesce("id", F.lit(NO_ID)).alias(key), F.col("th").alias(th)).distinct()
+    rows = df.withColumns({key: F.coalesce(id_col, F.lit(NO_ID)), th: F.xxhash64(text_col)})
+    return rows.join(gone, [key, th], "left_anti").dropDuplicates([key, th]).select(*df.columns)
+
+
+def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Columns id, th (hash of the text), n_shingles, component_id, kept; one row for each row of df."""
     base = written(sketched(df, id_col, text_col, size), "sketches")
     least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("th"))).alias("m")
     grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"))
@@ -201,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(member.join(source, ["id", "th"]).select("node", "text"), "texts")
     components = tested = links = None
     for seed in range(MOST_ROUNDS):
-        pairs = candidates(buckets, components, seed)
+        pairs = candidates(buckets, components, seed, 1 if seed == 0 else MOST_CENTRES)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -222,6 +238,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mapped = own.join(lowest, "component").select("node", F.col("component_id").alias("found"))
         named = named.join(mapped, "node", "left").select("digest", F.coalesce("found", "component_id").alias("component_id"))
     named = named.select("digest", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
-    full = base.where("digest is not null").select("id", "n_shingles", "digest").join(named, "digest").select("id", "n_shingles", "component_id")
-    alone = base.where("digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return full.unionAll(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = base.where("digest is not null").select("id", "th", "n_shingles", "digest").join(named, "digest").select("id", "th", "n_shingles", "component_id")
+    alone = base.where("digest is null").select("id", "th", "n_shingles", F.col("id").alias("component_id"))
+    return full.unionAll(alone).select("id", "th", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
