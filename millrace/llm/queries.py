@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import oracle
 from millrace.llm.common import table
 
 
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL can express fast enough over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_neardup": oracle.OP2, "op3_repeats": oracle.OP3, "op4_decontamination": oracle.OP4}

@@ -23,3 +23,12 @@ def test_stages(spark, data, tmp_path):
     key = ["doc_id", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
     assert neardup.keep_one(before.limit(0)).count() == 0
+
+
+def test_sql(spark, data):
+    from millrace.llm.queries import ORACLE_SQL, QUERIES
+    from tests import oracle
+
+    for name, sql in ORACLE_SQL.items():
+        df, want = QUERIES[name](spark, data), oracle.connect(data).sql(sql)
+        assert oracle.rows(df.columns, df.collect()) == oracle.rows(list(want.columns), want.fetchall())
