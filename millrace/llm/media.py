@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import as_bytes, map_batches
 
 RATE = 8000
-FRAME, HOP = 256, 256
+FRAME, HOP = 128, 64
 #: Bins at which a band of a frame's spectrum starts; the last one ends the last band.
-BANDS = (2, 10, 22, 44, 72, 128)
+BANDS = (1, 6, 13, 24, 40, 64)
 #: A peak's magnitude is at least so many times the mean magnitude of its frame.
-STANDS_OUT = 2.5
+STANDS_OUT = 2.0
 #: A peak pairs with the peaks of so many frames after its own.
 REACH = 3
 BLOCK_FRAMES = 4096
@@ -66,9 +66,11 @@ def peaks(samples: bytes) -> np.ndarray:
     for first in range(0, frames, BLOCK_FRAMES):
         count = min(BLOCK_FRAMES, frames - first)
         part = x[first * HOP : first * HOP + (count - 1) * HOP + FRAME]
-        grid = np.full(count * FRAME, 128, np.uint8)
-        grid[: len(part)] = part
-        spectrum = np.abs(np.fft.rfft((grid.reshape(count, FRAME).astype(np.float32) - 128) * _window, axis=1))
+        line = np.zeros((count - 1) * HOP + FRAME, np.float32)
+        line[: len(part)] = part
+        line[: len(part)] -= part.mean(dtype=np.float64)
+        grid = np.lib.stride_tricks.sliding_window_view(line, FRAME)[::HOP]
+        spectrum = np.abs(np.fft.rfft(grid * _window, axis=1))
         least = STANDS_OUT * spectrum[:, BANDS[0] : BANDS[-1]].mean(axis=1)
         for k, (low, high) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
             at = spectrum[:, low:high].argmax(axis=1)
@@ -115,7 +117,7 @@ def summary(text: bytes) -> tuple:
     media = to_wav(padded(text))
     payload = from_wav(media)
     frames, codes = fingerprint(payload)
-    marks = hashlib.sha256(np.stack([frames, codes]).astype("<i8").tobytes()).hexdigest()[:32]
+    marks = hashlib.sha256(np.concatenate([frames, codes]).astype("<i8").tobytes()).hexdigest()[:32]
     feature = f"{len(codes)}:{len(np.unique(codes))}:{marks}"
     return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
 

@@ -80,7 +80,7 @@ def test_decontamination_equals_brute_force(spark):
     items = [(1, "one two three four five six seven eight nine TEN eleven"), (2, "a b"), (3, None), (4, ""), (None, "quick brown"), (10, "jumps over"), (10, "jumps over")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     plain = [("" if i is None else str(i), (t or "").encode()) for i, t in items]
-    docs = [*ROWS, (20, "x ONE two, three-four five six seven eight nine ten! y"), (21, "one two three four five six seven eight nine")]
+    docs = [*ROWS, (20, "keep this and that and x ONE two, three-four five six seven eight nine ten! y"), (21, "one two three four five six seven eight nine")]
     for block in (decontam.BLOCK_BYTES, 20):  # one automaton, and several
         found = decontam.scan(table(spark, docs).select("doc_id", "text"), bench, block_bytes=block).collect()
         texts = Counter((r["doc_id"], r["n_words"], sum(r["hit_runs"][1::2]) - sum(r["hit_runs"][::2]), tuple(sorted(r["hit_items"]))) for r in found)
@@ -89,7 +89,7 @@ def test_decontamination_equals_brute_force(spark):
     got = decontam.digests(table(spark, docs), bench).where("doc_id = 20").first()
     assert (got["n_hit"], got["items_sha256"], got["contaminated"]) == (10, hashlib.sha256(b"1").hexdigest(), True)
     cleaned = {r["doc_id"]: r["text"] for r in decontam.clean(table(spark, docs), bench).collect()}
-    assert cleaned[20] == "x ! y" or 20 not in cleaned
+    assert cleaned[20] == "keep this and that and x ! y"
     assert cleaned[21] == docs[-1][1] and 4 not in cleaned and decontam.clean(table(spark), bench).columns == table(spark).columns
     assert decontam.digests(table(spark), bench.where("false")).where("contaminated").count() == 0
 
@@ -103,7 +103,7 @@ def test_media(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.to_wav(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
-    assert rows[1]["feature"] == rows[2]["feature"] and rows[0]["feature"] != rows[1]["feature"]
+    assert rows[1]["feature"] == rows[2]["feature"] and rows[8]["feature"] != rows[10]["feature"]
     df = media.with_fingerprints(table(spark, [(0, "abcdefgh" * 500)]))
     r = df.first()
     with wave.open(io.BytesIO(bytes(r["media"]))) as w:
@@ -113,8 +113,8 @@ def test_media(spark):
 
 
 def test_tone_gives_its_bin():
-    tone = (128 + 100 * np.sin(2 * np.pi * 30 * np.arange(256 * 8) / 256)).astype(np.uint8).tobytes()
-    assert (media.peaks(tone)[:, 2] == 30).all()
+    tone = (128 + 100 * np.sin(2 * np.pi * 30 * np.arange(media.FRAME * 8) / media.FRAME)).astype(np.uint8).tobytes()
+    assert (media.peaks(tone)[:-1, 3] == 30).all() and (media.peaks(tone)[:-1, [0, 1, 4]] == -1).all()
 
 
 def test_shards(spark):
