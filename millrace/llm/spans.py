@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Characters on either side of a match that count as its context.
 CONTEXT = 48
+#: Matches whose lengths are summed one by one at a time.
+BLOCK = 128
 
 SPAN = "array<struct<kind: string, rank: int, start: int, end: int, score: double>>"
 
@@ -25,22 +27,39 @@ def found(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
     rows = F.arrays_zip(whole.alias("g0"), F.slice(between, 1, F.size(whole)).alias("pre"), F.slice(between, 2, F.size(whole)).alias("post"), *(c.alias(f"g{g}") for c, g in zip(more, [g for g in groups if g], strict=True)))
     names = ["g0", *(f"g{g}" for g in groups if g)]
 
-    def place(done: Column, row: Column) -> Column:
-        start = done["at"] + F.length(row["pre"])
-        end = start + F.length(row["g0"])
-        one = F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), *(row[n].alias(n) for n in names),
-            F.lower(F.right(row["pre"], F.lit(CONTEXT))).alias("left"), F.lower(F.left(row["post"], F.lit(CONTEXT))).alias("right"),
-        )
-        return F.struct(end.cast("int").alias("at"), F.array_append(done["out"], one).alias("out"))
+    def placed(rows: Column, sizes: Column, ends: Column) -> Column:
+        def place(row: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = F.get(ends, block) + total(F.slice(sizes, block * BLOCK + 1, i % BLOCK)) + F.length(row["pre"])
+            return F.struct(
+                start.cast("int").alias("start"), (start + F.length(row["g0"])).cast("int").alias("end"), *(row[n].alias(n) for n in names),
+                F.lower(F.right(row["pre"], F.lit(CONTEXT))).alias("left"), F.lower(F.left(row["post"], F.lit(CONTEXT))).alias("right"),
+            )
+
+        return F.transform(rows, place)
 
     fields = ", ".join(f"{n}: string" for n in [*names, "left", "right"])
-    kind = f"array<struct<start: int, end: int, {fields}>>"
-    none = F.from_json(F.lit("[]"), kind)
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda done: done["out"])
+    none = F.from_json(F.lit("[]"), f"array<struct<start: int, end: int, {fields}>>")
+    # Sums over whole blocks first, so that the work for n matches is n * BLOCK at most and not n * n.
+    walked = let(rows, lambda r: let(F.transform(r, lambda x: F.length(x["pre"]) + F.length(x["g0"])), lambda sizes: let(block_ends(sizes), lambda ends: placed(r, sizes, ends))))
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def block_ends(sizes: Column) -> Column:
+    """0, and the running sum at the end of each block of sizes."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+
 def as_spans(matches: Column, kind: str, rank: int, score: Column | None = None, keep=lambda m: F.lit(True), scored=None) -> Column:
     """Matches for which keep holds, as an array of (kind, rank, start, end, score)."""
     of = scored or (lambda m: F.lit(1.0))
