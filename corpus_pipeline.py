@@ -36,8 +36,11 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with their number and the digests of ids and decoded bytes."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    """Token ids of each text, with their number and the digests of ids and decoded bytes.
+
+    Workers remember less than in a job of its own: after four other stages an executor's memory is in use already.
+    """
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, entries=60_000, most_pieces=150_000)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches
+from millrace.llm.common import map_batches, worker_cache
 
 #: Code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -30,7 +30,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 WORD_SHIFT, WORD_MASK = 8, 255
 BITS = [1 << k for k in range(256)]
 #: Chunks in each of the two generations that a worker remembers, the longest that it remembers, and pre-tokens.
-CACHE_ENTRIES, CACHE_CHARS, CACHE_PIECES = 500_000, 40, 800_000
+CACHE_ENTRIES, CACHE_CHARS, CACHE_PIECES = 300_000, 40, 800_000
 #: Characters of texts that are worked on at a time.
 GROUP_CHARS = 500_000
 
@@ -140,8 +140,9 @@ class Codec:
     the run of other characters after it, or white space. The pattern is then applied inside a chunk.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES, most_pieces: int = CACHE_PIECES):
         self.ranks = ranks
+        self.entries, self.most_pieces = entries, most_pieces
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.chunk = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -153,7 +154,7 @@ class Codec:
         """Ids of pre-tokens; those of short ones are remembered."""
         known = self.pieces
         if new := {p for p in pieces if p not in known}:
-            if len(known) >= CACHE_PIECES:
+            if len(known) >= self.most_pieces:
                 kept = {p: known[p] for p in pieces if p in known}
                 known.clear()
                 known.update(kept)
@@ -184,7 +185,7 @@ class Codec:
         """Of each text: number of ids, digest of the ids, digest of the bytes that they decode to, and the ids if asked for."""
         split = [self.chunk.findall(text) for text in texts]
         new = {c for chunks in split for c in chunks}
-        if len(self.known) >= CACHE_ENTRIES:
+        if len(self.known) >= self.entries:
             self.known, self.older = {}, self.known
         new.difference_update(self.known)
         for c in [c for c in new if c in self.older]:
@@ -204,15 +205,15 @@ class Codec:
         return made
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
+_codecs: dict[tuple, Codec] = worker_cache(__name__)
 
 
-def codec_of(shared, pattern: str) -> Codec:
+def codec_of(shared, pattern: str, entries: int = CACHE_ENTRIES, most_pieces: int = CACHE_PIECES) -> Codec:
     """One codec for a worker process, made when first asked for."""
-    key = (shared.value[0], pattern)
+    key = (shared.value[0], pattern, entries, most_pieces)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(parse_ranks(shared.value[1]), pattern)
+        _codecs[key] = Codec(parse_ranks(shared.value[1]), pattern, entries, most_pieces)
     return _codecs[key]
 
 
@@ -264,18 +265,22 @@ def groups(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes each text in one pass over it: token count, digests of ids and of decoded bytes, and the ids if asked for."""
+def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, entries: int = CACHE_ENTRIES, most_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Encodes and decodes each text in one pass over it: token count, digests of ids and of decoded bytes, and the ids if asked for.
+
+    entries, most_pieces: what a worker remembers, chunks in each generation and pre-tokens; fewer take less memory and more time.
+    """
     shared = _share(df, ranks_path)
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared, pattern)
-        gc.disable()  # the caches hold no cycles, and each collection would go through them
+        codec = codec_of(shared, pattern, entries, most_pieces)
         for b in batches:
+            gc.disable()  # the caches hold no cycles, and each collection would go through them
             made = [x for texts in groups(b.column(1).to_pylist()) for x in codec.digests(texts, with_ids)]
             columns = [pa.array([x[k] for x in made], kinds[k]) for k in range(3 + with_ids)]
+            gc.enable()
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
 
     one = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir, table, written
 
-__all__ = ["as_bytes", "buffers", "map_batches", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["as_bytes", "buffers", "map_batches", "shared_dir", "small_batches", "table", "worker_cache", "written"]
 
 #: Rows that one Arrow batch holds at most; the longest texts are then still a bounded batch.
 BATCH_ROWS = 500
+_caches: dict[str, dict] = {}
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches that are sent to Python by rows, and by bytes where Spark knows the setting."""
@@ -22,9 +23,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def worker_cache(module: str) -> dict:
+    """A dict that lives in a worker process as long as only that module's functions run there."""
+    return _caches.setdefault(module, {})
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df through fn. A worker that goes on to another operator first lets go of what it held for the last one."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(module)
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def drop_caches(but: str) -> None:
+    for name, cache in _caches.items():
+        if name != but:
+            cache.clear()
 
 
 def as_bytes(name: str = "text"):

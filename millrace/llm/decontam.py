@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_bytes, map_batches
+from millrace.llm.common import as_bytes, map_batches, worker_cache
 
 WINDOW = 10
 #: Bytes of item texts in one automaton at most (but for a single longer item).
@@ -155,7 +155,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
         yield [(r["name"], bytes(r["text"])) for r in part.collect()]
 
 
-_automata: dict[int, Automaton] = {}
+_automata: dict[int, Automaton] = worker_cache(__name__)
 
 
 def _automaton(shared, window: int) -> Automaton:
@@ -239,8 +239,9 @@ def without_runs(text: str, runs: list[int]) -> str:
 
 def clean(df: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.8, text_col: str = "text") -> DataFrame:
     """df without the hit runs of its texts, and without rows of which more than most_coverage of the words are hit."""
+    columns = list(df.columns)
     prefix = "_"
-    while any(c.lower().startswith(prefix) for c in df.columns):
+    while any(c.lower().startswith(prefix) for c in columns):
         prefix += "_"
     found = scan(df, items, window, text_col=text_col, prefix=prefix)
     kept = found.where((F.size(prefix + "hit_runs") == 0) | (n_hit(prefix + "hit_runs") <= most_coverage * F.col(prefix + "n_words")))
@@ -249,6 +250,6 @@ def clean(df: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage:
         for b in batches:
             k, runs = b.schema.get_field_index(text_col), b.column(b.schema.get_field_index(prefix + "hit_runs")).to_pylist()
             texts = [without_runs(t, r) if r else t for t, r in zip(b.column(k).to_pylist(), runs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == k else b.column(j) for j in range(len(df.columns))], names=df.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == k else b.column(j) for j in range(len(columns))], names=columns)
 
     return map_batches(kept, run, df.schema)
