@@ -38,7 +38,7 @@ PART = 1 << 20
 #: Rounds of candidates at least and at most; more than the least only follow a round with new links.
 LEAST_ROUNDS, MOST_ROUNDS = 2, 12
 #: Centres of a bucket in a round after the first, in which most components have formed.
-MOST_CENTRES = 4
+MOST_CENTRES = 3
 NO_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20240229)
@@ -175,14 +175,21 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")), run, "a long, b long")
 
 
-def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, centres: int) -> DataFrame:
-    """Pairs (a, b): in each bucket of several components, its centres with each member of another component."""
+def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, centres: int, percent: int) -> DataFrame:
+    """Pairs (a, b): in each bucket of several components, its centres with each member of another component.
+
+    Sets whose sizes alone rule a link out, the smaller being less than percent of the larger, make no pair.
+    """
     rows = buckets.withColumn("c", F.col("node"))
     if components is not None:
         rows = buckets.join(components.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(seed * MOST_CENTRES + k)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"))) for k in range(centres)]
+    # All centres but the last are drawn from members of components first: a single class as the centre of a bucket full of one
+    # component's members would be compared with every one of them.
+    single = (F.col("c") == F.col("node")).cast("int")
+    drawn = [F.min(F.struct((F.lit(0) if k == centres - 1 else single).alias("s"), F.xxhash64("node", F.lit(seed * MOST_CENTRES + k)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"), F.col("n").alias("n"))) for k in range(centres)]
     stars = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array(*drawn).alias("m")).where("low <> high").select("h", "m")
-    pairs = rows.join(stars, "h").select("node", "c", F.explode("m").alias("m")).where("c <> m.c")
+    pairs = rows.join(stars, "h").select("node", "n", "c", F.explode("m").alias("m")).where("c <> m.c")
+    pairs = pairs.where(100 * F.least("n", "m.n") >= percent * F.greatest("n", "m.n"))
     return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
 
 
@@ -207,9 +214,9 @@ def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -
     """Columns id, th (hash of the text), n_shingles, component_id, kept; one row for each row of df."""
     base = written(sketched(df, id_col, text_col, size), "sketches")
     least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("th"))).alias("m")
-    grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"))
-    classes = written(grouped.select("digest", F.col("m.id").alias("id"), F.col("m.th").alias("th"), "bands", F.monotonically_increasing_id().alias("node")), "classes")
-    rows = classes.select("node", F.explode("bands").alias("h"))
+    grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = written(grouped.select("digest", F.col("m.id").alias("id"), F.col("m.th").alias("th"), "n", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    rows = classes.select("node", "n", F.explode("bands").alias("h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     buckets = written(rows.join(shared, "h"), "buckets")
     member = buckets.select("node").distinct().join(classes.select("node", "id", "th"), "node")
@@ -217,7 +224,7 @@ def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -
     texts = written(member.join(source, ["id", "th"]).select("node", "text"), "texts")
     components = tested = links = None
     for seed in range(MOST_ROUNDS):
-        pairs = candidates(buckets, components, seed, 1 if seed == 0 else MOST_CENTRES)
+        pairs = candidates(buckets, components, seed, 1 if seed == 0 else MOST_CENTRES, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
