@@ -311,7 +311,7 @@ def cut(text: bytes, places: list[int], length: int) -> tuple[bytes, int]:
 
 def without_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Columns id_col, n_bytes, n_removed, n_spans and kept (binary), or with digest kept_sha256; one row for each row of df."""
-    rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("text"))
+    rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("text"))
     places = repeated_places(rows.select("th", "id", "text"), length)
     lists = places.groupBy("th", "id").agg(F.collect_list("place").alias("places"))
     last = "kept_sha256" if digest else "kept"
