@@ -25,8 +25,11 @@ def frequent(df: DataFrame, data: str, size: int = 4, entries: int = 256, least:
 
 
 def lifted(df: DataFrame, data: str, label: str, size: int = 4, entries: int = 256, least: int = 2, target: str | None = None, drop_zero: bool = True) -> DataFrame:
-    """Chunks by how much they move a label's share: of target signed, else the largest change of any label; rows count a chunk once."""
-    rows = df.select(F.col(label).cast("string").alias("label"), F.array_distinct(chunks(F.col(data), size, drop_zero)).alias("cs"))
+    """Chunks by how much they move a label's share: of target signed, else the largest change of any label; rows count a chunk once.
+
+    Chunks are text here: distinct elements of an array are found by hash for text, and by comparing all pairs for binary data.
+    """
+    rows = df.select(F.col(label).cast("string").alias("label"), F.array_distinct(F.transform(chunks(F.col(data), size, drop_zero), lambda c: F.lower(F.hex(c)))).alias("cs"))
     labels = rows.groupBy("label").agg(F.count("*").alias("ln"))
     total = rows.agg(F.count("*").alias("total"))
     per = rows.select("label", F.explode("cs").alias("c")).groupBy("c", "label").agg(F.count("*").alias("n"))
@@ -40,7 +43,7 @@ def lifted(df: DataFrame, data: str, label: str, size: int = 4, entries: int = 2
     scored = F.transform(wanted, lambda s: F.struct((change(s) if target is not None else F.abs(change(s))).alias("score"), s["label"].alias("label")))
     # Labels are few (one small row); of equal scores the first label in order stands.
     best = F.aggregate(scored, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("label")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-    out = by_chunk.join(F.broadcast(all_shares)).withColumn("b", best).select(F.lower(F.hex("c")).alias("pattern_hex"), "count", F.col("b.score").alias("score"), F.col("b.label").alias("label"))
+    out = by_chunk.join(F.broadcast(all_shares)).withColumn("b", best).select(F.col("c").alias("pattern_hex"), "count", F.col("b.score").alias("score"), F.col("b.label").alias("label"))
     if target is not None:
         out = out.where("score > 0")
     return _placed(out, [F.desc("score"), F.desc("count"), "pattern_hex"], entries)
