@@ -7,7 +7,12 @@ keeps its least hash. An empty bin takes the value of a bin that a fixed random
 Texts with equal sets are one class from the start. In a bucket of classes one is the centre, and the others are
 linked to it only, so a bucket of n gives n - 1 candidates. Candidates are confirmed on the full sets. Classes that
 are in one component already need no candidate between them; buckets that still hold several components get a few
-other centres in the next round, until a round confirms nothing new.
+other centres in the second round.
+
+What centres leave is done in full: in buckets that still hold several components, all pairs of classes of different components
+are compared by their prints. A print is a bitmap of PRINT bits, each the parity of the set's hashes that fall on it, so two prints differ
+in at most as many bits as the sets have elements that are in one of them only; pairs that differ in more than a link allows are no links.
+All others are confirmed on the full sets, first the nearest pair of each two components, then those whose classes are still apart.
 
 Defined cases: empty and null texts have no shingles and are linked with nothing; a null id is larger than
 all others, and the component of null ids only is null (its rows are kept); rows with equal ids and texts are kept or not alike.
@@ -35,10 +40,11 @@ ATTEMPTS = 64
 LONG_WORD = 64
 #: Bytes that are hashed at a time.
 PART = 1 << 20
-#: Rounds of candidates at least and at most; more than the least only follow a round with new links.
-LEAST_ROUNDS, MOST_ROUNDS = 2, 12
-#: Centres of a bucket in a round after the first, in which most components have formed.
-MOST_CENTRES = 3
+#: Centres of a bucket in the first round, and in the second, in which most components have formed.
+CENTRES = (1, 3)
+MOST_CENTRES = max(CENTRES)
+#: Bits of a print, a multiple of 64.
+PRINT = 1024
 NO_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20240229)
@@ -131,8 +137,14 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return mixed((dense * _odd[20 : 20 + ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _odd[40])
 
 
+def print_of(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of the set's hashes on each of PRINT bits, as 64-bit numbers."""
+    odd = np.bincount((s % np.uint64(PRINT)).astype(np.int64), minlength=PRINT) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Per row: id, n_shingles, th (hash of the text), digest of the set (null if empty), bands."""
+    """Per row: id, n_shingles, th (hash of the text), digest of the set (null if empty), bands, print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,15 +152,17 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             filled = [k for k, s in enumerate(sets) if len(s)]
             digests: list[bytes | None] = [None] * len(sets)
             bands: list[np.ndarray | None] = [None] * len(sets)
+            prints: list[np.ndarray | None] = [None] * len(sets)
             if filled:
                 rows = sketches([sets[k] for k in filled]).view(np.int64)
                 for k, row in zip(filled, rows, strict=True):
                     digests[k], bands[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), row
-            columns = [pa.array([len(s) for s in sets], pa.int64()), b.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n_shingles", "th", "digest", "bands"])
+                    prints[k] = print_of(sets[k])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), b.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n_shingles", "th", "digest", "bands", "print"])
 
     one = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), as_bytes(text_col).alias("text"))
-    return map_batches(one, run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, th long, digest binary, bands array<long>")
+    return map_batches(one, run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, th long, digest binary, bands array<long>, print array<long>")
 
 
 def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -175,14 +189,19 @@ def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")), run, "a long, b long")
 
 
+def placed(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
+    """buckets with each class's component c, which is the class itself as long as it has no link."""
+    if components is None:
+        return buckets.withColumn("c", F.col("node"))
+    return buckets.join(components.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+
 def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, centres: int, percent: int) -> DataFrame:
     """Pairs (a, b): in each bucket of several components, its centres with each member of another component.
 
     Sets whose sizes alone rule a link out, the smaller being less than percent of the larger, make no pair.
     """
-    rows = buckets.withColumn("c", F.col("node"))
-    if components is not None:
-        rows = buckets.join(components.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    rows = placed(buckets, components)
     # All centres but the last are drawn from members of components first: a single class as the centre of a bucket full of one
     # component's members would be compared with every one of them.
     single = (F.col("c") == F.col("node")).cast("int")
@@ -193,6 +212,23 @@ def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, cent
     return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
 
 
+def remaining(buckets: DataFrame, components: DataFrame | None, prints: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a bucket, are of different components, and may be linked by their sizes and prints.
+
+    prints: node, print. Columns a, b, c, d (their components, the smaller first), apart (differing bits, by size).
+    """
+    rows = placed(buckets, components)
+    mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    words = PRINT // 64
+    rows = rows.join(mixed, "h").join(prints, "node").select("h", "node", "n", "c", *[F.col("print")[k].alias(f"p{k}") for k in range(words)])
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(1, words)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0")))).cast("long")
+    both = F.col("x.n") + F.col("y.n")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")))
+    pairs = pairs.where((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * apart <= (100 - percent) * both))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.c", "y.c").alias("c"), F.greatest("x.c", "y.c").alias("d"), (apart / both).alias("apart")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Columns id_col, n_shingles, component_id, kept; one row for each row of df.
 
@@ -214,8 +250,8 @@ def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -
     """Columns id, th (hash of the text), n_shingles, component_id, kept; one row for each row of df."""
     base = written(sketched(df, id_col, text_col, size), "sketches")
     least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("th"))).alias("m")
-    grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = written(grouped.select("digest", F.col("m.id").alias("id"), F.col("m.th").alias("th"), "n", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"), F.first("print").alias("print"), F.first("n_shingles").alias("n"))
+    classes = written(grouped.select("digest", F.col("m.id").alias("id"), F.col("m.th").alias("th"), "n", "bands", "print", F.monotonically_increasing_id().alias("node")), "classes")
     rows = classes.select("node", "n", F.explode("bands").alias("h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     buckets = written(rows.join(shared, "h"), "buckets")
@@ -223,21 +259,31 @@ def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -
     source = df.select(F.coalesce(id_col, F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = written(member.join(source, ["id", "th"]).select("node", "text"), "texts")
     components = tested = links = None
-    for seed in range(MOST_ROUNDS):
-        pairs = candidates(buckets, components, seed, 1 if seed == 0 else MOST_CENTRES, percent)
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal components, tested, links
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         new = written(confirmed(sides, size, percent).distinct(), "links")
-        found = not new.isEmpty()
-        if found:
+        if not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             components = written(connected_components(links, "a", "b"), "components")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        if not found and seed + 1 >= LEAST_ROUNDS:
-            break
+
+    for seed, centres in enumerate(CENTRES):
+        test(candidates(buckets, components, seed, centres, percent))
+    # Nothing is left out from here on: one link joins two components, so their nearest pair goes first, and then what it did not settle.
+    rest = remaining(buckets, components, classes.select("node", "print"), percent)
+    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        test(rest.groupBy("c", "d").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b"))
+        if components is not None:
+            of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        test(rest.select("a", "b"))
     named = classes.select("digest", "node", F.col("id").alias("component_id"))
     if components is not None:
         own = classes.select("node", "id").join(components, "node")

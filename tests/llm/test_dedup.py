@@ -44,6 +44,35 @@ def test_documents(spark, data):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == ids(rows)
 
 
+def variant_rows(pairs=100):
+    """Copies of a text with one word changed, each with a further copy that is linked with it only but shares buckets with nearly all."""
+    random.seed(5)
+    base = [f"w{k}" for k in range(400)]
+    out = []
+    for _ in range(pairs):
+        for edits in (1, 11):
+            own = list(base if edits == 1 else own)
+            for at in random.sample(range(0, 400, 4), edits):
+                own[at] = f"n{random.randint(0, 10**9)}"
+            out.append(" ".join(own))
+    return list(enumerate(out))
+
+
+def test_links_between_classes_unlike_every_centre(spark):
+    rows = variant_rows()
+    got = neardup.near_duplicates(table(spark, rows), size=4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == ids(rows)
+
+
+def test_prints_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(3)
+    for both, own in ((0, 1), (50, 20), (3000, 900)):
+        a = np.unique(rng.integers(0, 2**63, both + own, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:both], rng.integers(0, 2**63, own, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (neardup.print_of(a) ^ neardup.print_of(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and not (neardup.print_of(a) ^ neardup.print_of(a)).any()
+
+
 def test_keep_one(spark):
     got = neardup.keep_one(table(spark))
     assert got.columns == table(spark).columns
