@@ -178,6 +178,28 @@ def test_lm_attends_to_the_past_only_and_sums_to_one():
     assert np.allclose(np.bincount(k.of, weights=10**k.inside), 1)
 
 
+def test_lm_trains_on_every_id_once(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        model = spark.sparkContext.broadcast(f.read())
+    splitter = lm.Splitter(model.value)
+    classes = lm.Classes.make(np.arange(splitter.end + 1)[::-1] % 1000)
+    texts = ["", "a b", "The quick brown fox " * 60, " ".join(f"w{k}" for k in range(9000))]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    found = lm.training_lines(rows, model, classes).collect()
+    windows = [lm.windows_of([bytes(r["x"])]) for r in found]
+    assert [len(x) for x in windows] == [r["windows"] for r in found] and (lm.windows_of([bytes(r["x"]) for r in found]) == np.concatenate(windows)).all()
+    predicted = np.concatenate(windows)[:, lm.CONTEXT + 1 :]
+    want = [int(classes.of[i]) for t in texts for x in splitter.ids(lm.words_of(t.encode())) for i in x]
+    assert Counter(predicted[predicted >= 0].tolist()) == Counter(want)
+    # Without the end of a line, a window goes on where the one before it ended.
+    assert all((x[1:, : lm.CONTEXT + 1] == x[:-1, lm.STRIDE :]).all() for x in windows)
+    flat = lm.first_weights(classes.prior)
+    x, y = np.maximum(windows[0][:, : lm.WIDTH], 0), windows[0][:, lm.CONTEXT + 1 :].astype(np.int64)
+    other = np.where(y < 0, -5, y)
+    assert (lm.loss_gradient(flat, x, y)[1] == lm.loss_gradient(flat, x, other)[1]).all() and np.isfinite(lm.loss_gradient(flat, x, y)[0])
+
+
 def test_lm_scores_equal_brute_force(spark, data, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(table(spark).select("doc_id", "text"))
