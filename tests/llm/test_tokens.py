@@ -219,3 +219,15 @@ def test_lm_scores_equal_brute_force(spark, data, monkeypatch):
         assert all(r["score"] < 0 and r["attention_score"] < 0 for r in got)
     assert lm.scores(docs.where("false"), path).count() == 0
     assert lower("ÀB") == "Àb"
+
+
+def test_lm_score_does_not_depend_on_what_is_common(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    random.seed(9)
+    rows = [(k, " ".join(f"word{int(random.paretovariate(0.6)) % 300}" for _ in range(random.randint(0, 40)))) for k in range(80)] + [(100, "unseen words alone"), (101, None)]
+    found = []
+    for most in (lm.MOST_COMMON, 20, 0):
+        monkeypatch.setattr(lm.common_words, "__defaults__", (most,))
+        found.append({r["doc_id"]: (r["score"], r["base_score"], r["attention_score"]) for r in lm.scores(table(spark, rows), path).collect()})
+    for k, want in found[0].items():
+        assert np.allclose(found[1][k], want, rtol=1e-6, atol=0) and np.allclose(found[2][k], want, rtol=1e-6, atol=0)
