@@ -39,22 +39,41 @@ def thr_prob_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).select("flow_id", gates.target_probability(F.col("pred_label"), F.lit(0.25), probs, "scan").alias("p"))
 
 
-def _scan_sql(view: str, kind: str, seconds: int) -> str:
-    return f"""{kind}_g AS (SELECT k / CAST(10 AS DOUBLE) AS threshold FROM range(1, 10) r(k) UNION SELECT unnest(quantile_cont(score, [0.0, 1.0])) FROM {view} WHERE split = 'val'),
+#: The grid of candidate_thresholds' defaults.
+_FULL_GRID = "SELECT k / CAST(1000 AS DOUBLE) AS threshold FROM range(1, 1000) r(k) UNION SELECT unnest(quantile_cont({score}, [" + ", ".join(f"{k / 300!r}::DOUBLE" for k in range(301)) + "])) FROM {rows}"
+
+
+def _scan_sql(view: str, kind: str, seconds: int, grid: str = "SELECT k / CAST(10 AS DOUBLE) AS threshold FROM range(1, 10) r(k) UNION SELECT unnest(quantile_cont({score}, [0.0, 1.0])) FROM {rows}") -> str:
+    return f"""{kind}_g AS ({grid.format(score="score", rows=f"{view} WHERE split = 'val'")}),
 {kind}_n AS (SELECT split, threshold, count(*) FILTER (is_target AND score >= threshold) AS tp, count(*) FILTER (NOT is_target AND score >= threshold) AS fp, count(*) FILTER (is_target AND score < threshold) AS fn, count(*) FILTER (NOT is_target AND score < threshold) AS tn FROM {view}, {kind}_g WHERE split <> 'train' GROUP BY ALL),
 {kind}_r AS (SELECT *, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS precision, tp / CAST(greatest(tp + fn, 1) AS DOUBLE) AS recall FROM {kind}_n), {kind}_m AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM {kind}_r),
 {kind}_b AS (SELECT threshold FROM {kind}_m WHERE split = 'val' ORDER BY (recall >= 0.5 AND f1 >= 0.2) DESC, f1 DESC, recall DESC, precision DESC, fp, threshold DESC LIMIT 1),
 {kind}_o AS (SELECT '{kind}' AS kind, {seconds} AS window_seconds, m.* FROM {kind}_m m JOIN {kind}_b USING (threshold))"""
 
 
-@query(""", f AS (SELECT *, major_label = 'scan' AS is_target, major_prob AS score FROM flows),
+_HOST_VIEWS = """, f AS (SELECT *, major_label = 'scan' AS is_target, major_prob AS score FROM flows),
 t AS (SELECT split, is_target, greatest(max(score) OVER (PARTITION BY split, source_file, host ORDER BY start_us RANGE BETWEEN 21600000000 PRECEDING AND 1 PRECEDING), max(score) OVER (PARTITION BY split, source_file, host, start_us ORDER BY flow_id ROWS UNBOUNDED PRECEDING)) AS score FROM f),
-b AS (SELECT split, bool_or(is_target) AS is_target, max(score) AS score FROM f GROUP BY split, source_file, host, floor(start_time / 21600)), """ + ", ".join((_scan_sql("f", "flow", 0), _scan_sql("t", "trailing", 21600), _scan_sql("b", "bucket", 21600))) + " SELECT * FROM flow_o UNION ALL SELECT * FROM trailing_o UNION ALL SELECT * FROM bucket_o")
+b AS (SELECT split, bool_or(is_target) AS is_target, max(score) AS score FROM f GROUP BY split, source_file, host, floor(start_time / 21600)), """
+_HOST_ROWS = " SELECT * FROM flow_o UNION ALL SELECT * FROM trailing_o UNION ALL SELECT * FROM bucket_o"
+
+
+@query(_HOST_VIEWS + ", ".join((_scan_sql("f", "flow", 0), _scan_sql("t", "trailing", 21600), _scan_sql("b", "bucket", 21600))) + _HOST_ROWS)
 def thr_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flows(spark, sf_dir).withColumn("score", F.col("major_prob"))
     return gates.host_thresholds(df.where("split = 'val'"), df.where("split = 'test'"), "scan", [21600], 0.5, 0.2, steps=9, quantiles=2)
 
 
+@query(_HOST_VIEWS + ", ".join((_scan_sql("f", "flow", 0, _FULL_GRID), _scan_sql("t", "trailing", 21600, _FULL_GRID), _scan_sql("b", "bucket", 21600, _FULL_GRID))) + _HOST_ROWS)
+def thr_host_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = flows(spark, sf_dir).withColumn("score", F.col("major_prob"))
+    return gates.host_thresholds(df.where("split = 'val'"), df.where("split = 'test'"), "scan", [21600], 0.5, 0.2)
+
+
+@query(f", q AS ({_FULL_GRID.format(score='major_prob', rows='flows')}) SELECT DISTINCT round(threshold, 9) AS threshold FROM q")
+def thr_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.candidate_thresholds(flows(spark, sf_dir), "major_prob").select(F.round("threshold", 9).alias("threshold")).distinct()
+
+
 @query("SELECT host, count(*) AS n, count(*) FILTER (major_label <> 'benign') AS attacks, count(DISTINCT major_label) AS labels FROM flows GROUP BY 1")
 def agg_csv_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("major_label") != "benign").alias("attacks"), F.countDistinct("major_label").alias("labels"))

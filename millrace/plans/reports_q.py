@@ -288,6 +288,14 @@ def thr_calib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.calibrated(_multi(spark, sf_dir), "t", "p", ["a", "b", "c"], [k / 10 for k in range(1, 10)])
 
 
+@query(_MULTI + """, c AS (SELECT label, k / CAST(20 AS DOUBLE) AS threshold, t, p FROM u, range(1, 20) r(k)), n AS (SELECT label, threshold, count(*) FILTER (t = 1 AND p >= threshold) AS tp, count(*) FILTER (t <> 1 AND p >= threshold) AS fp, count(*) FILTER (t = 1 AND p < threshold) AS fn FROM c GROUP BY ALL),
+r AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM n),
+m AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r), b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, threshold DESC) AS i FROM m)
+SELECT label, CASE WHEN support > 0 THEN threshold ELSE 0.5 END AS threshold, CASE WHEN support > 0 THEN f1 ELSE 0 END AS f1, CASE WHEN support > 0 THEN precision ELSE 0 END AS precision, CASE WHEN support > 0 THEN recall ELSE 0 END AS recall, support FROM b WHERE i = 1""")
+def thr_calib_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.calibrated(_multi(spark, sf_dir), "t", "p", ["a", "b", "c"], [k / 20 for k in range(1, 20)])
+
+
 @query("""SELECT flow_id, CASE WHEN pred_label = 'benign' AND major_prob >= 0.9 THEN 'scan' ELSE pred_label END AS benign_only, CASE WHEN pred_label IN ('benign', 'scan') AND major_prob >= 0.9 THEN 'scan' ELSE pred_label END AS target_or_benign,
 CASE WHEN major_prob >= 0.9 THEN 'scan' ELSE pred_label END AS any_label FROM flows""")
 def thr_override(spark: SparkSession, sf_dir: str) -> DataFrame:
