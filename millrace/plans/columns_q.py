@@ -160,6 +160,11 @@ def ord_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).orderBy("major_label", "start_time", "flow_id").limit(500).select("flow_id", "major_label", "event_type")
 
 
+@query("SELECT flow_id, major_label, event_type FROM flows ORDER BY major_label, start_time, flow_id")
+def ord_stable_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows(spark, sf_dir).orderBy("major_label", "start_time", "flow_id").select("flow_id", "major_label", "event_type")
+
+
 # Tokens and codebooks.
 
 

@@ -76,6 +76,17 @@ def agg_submode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.shape_coverage(df, "major_label", "shape")
 
 
+@query(""", n AS (SELECT split, major_label, connection_type || '/' || packet_count AS shape, count(*) AS n FROM flows GROUP BY ALL),
+r AS (SELECT a.split, a.major_label, a.n, EXISTS (SELECT 1 FROM n t WHERE t.split = 'train' AND t.major_label = a.major_label AND t.shape = a.shape) AS own, EXISTS (SELECT 1 FROM n t WHERE t.split = 'train' AND t.shape = a.shape) AS anyone FROM n a WHERE a.split <> 'train' AND lower(a.major_label) <> 'benign'),
+p AS (SELECT split, major_label, CAST(sum(n) AS BIGINT) AS eval_rows, CAST(coalesce(sum(n) FILTER (NOT own), 0) AS BIGINT) AS unseen_rows, CAST(coalesce(sum(n) FILTER (NOT own AND anyone), 0) AS BIGINT) AS ambiguous_rows FROM r GROUP BY ALL)
+SELECT p.*, CAST(coalesce(t.train_rows, 0) AS BIGINT) AS train_rows, unseen_rows / CAST(eval_rows AS DOUBLE) AS unseen_ratio,
+  coalesce(t.train_rows, 0) >= 100 AND eval_rows >= 100 AND unseen_rows / CAST(eval_rows AS DOUBLE) > 0.2 AND ambiguous_rows >= 50 AS blocking
+FROM p LEFT JOIN (SELECT major_label, sum(n) AS train_rows FROM n WHERE split = 'train' GROUP BY 1) t USING (major_label)""")
+def agg_submode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = flows(spark, sf_dir).withColumn("shape", F.concat_ws("/", "connection_type", F.col("packet_count").cast("string")))
+    return audit.shape_coverage(df, "major_label", "shape")
+
+
 @query(""", d AS (SELECT sha1(text) AS h, split FROM docs), o AS (SELECT count(*) AS n FROM (SELECT a.h FROM d a JOIN d b ON a.h = b.h AND a.split < b.split GROUP BY a.h, a.split, b.split)),
 q AS (SELECT count(*) AS n FROM (SELECT a.source FROM docs a JOIN docs b ON a.source = b.source AND a.split < b.split GROUP BY a.source, a.split, b.split)),
 l AS (SELECT count(*) AS n FROM (SELECT doc_id FROM docs GROUP BY 1 HAVING count(DISTINCT split) > 1))
@@ -124,6 +135,14 @@ def jn_submode_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_keys(df.where("split <> 'train'"), df.where("split = 'train' AND flow_id % 3 > 0"), keys)
 
 
+@query(""", t AS (SELECT DISTINCT major_label, connection_type, packet_count FROM flows WHERE split = 'train'), e AS (SELECT DISTINCT major_label, connection_type, packet_count FROM flows WHERE split <> 'train')
+SELECT e.* FROM e ANTI JOIN t USING (major_label, connection_type, packet_count)""")
+def jn_submode_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["major_label", "connection_type", "packet_count"]
+    df = flows(spark, sf_dir)
+    return audit.missing_keys(df.where("split <> 'train'"), df.where("split = 'train'"), keys)
+
+
 @query("""SELECT count(*) AS "rows", count(DISTINCT host) AS flows, count(*) FILTER (was_packet_truncated) AS truncated_rows, count(*) FILTER (payload_byte_length <= 0) AS empty_rows,
 min(payload_byte_length) AS min_payload, CAST(median(payload_byte_length) AS DOUBLE) AS median_payload, max(payload_byte_length) AS max_payload FROM flows""")
 def agg_dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +389,12 @@ def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("user_id = 1").select("event_type", "flow_id").unionByName(df.where("user_id = 2").select(F.col("user_id").alias("flow_id")), allowMissingColumns=True)
 
 
+@query("SELECT event_type, flow_id FROM flows UNION ALL SELECT NULL, user_id FROM flows")
+def set_union_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = flows(spark, sf_dir)
+    return df.select("event_type", "flow_id").unionByName(df.select(F.col("user_id").alias("flow_id")), allowMissingColumns=True)
+
+
 @query("SELECT f.flow_id, f.split, o.o_orderstatus AS pred FROM flows f JOIN orders o ON f.flow_id = o.o_orderkey")
 def jn_pred_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, o = flows(spark, sf_dir).select("flow_id", "split"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("flow_id"), F.col("o_orderstatus").alias("pred"))
