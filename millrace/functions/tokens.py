@@ -94,9 +94,8 @@ def masked(ids: Column, seed: Column, share: float = 0.15) -> Column:
 
 def ngrams(data: Column, low: int = 1, high: int = 4) -> Column:
     """All runs of low to high bytes as hex text."""
-    text = F.lower(F.hex(data))
     size = F.length(data)
-    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda k: F.substring(text, k * 2 + 1, F.lit(2 * n)))).otherwise(F.array().cast("array<string>"))
+    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda k: F.lower(F.hex(F.substring(data, k + 1, F.lit(n)))))).otherwise(F.array().cast("array<string>"))
     return F.concat(*map(of, range(low, high + 1)))
 
 

@@ -248,6 +248,14 @@ def feat_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tfidf(df, "doc_id", "b", 2, 2, 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(""", b AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS b FROM (SELECT doc_id, regexp_extract_all(lower(hex(bytes)), '..') AS l FROM docs)),
+s AS (SELECT doc_id, b, lead(b, 1) OVER w AS c, lead(b, 2) OVER w AS d, lead(b, 3) OVER w AS e FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY k)), g AS (SELECT doc_id, unnest([b, b || c, b || c || d, b || c || d || e]) AS term FROM s), f AS (SELECT doc_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY ALL),
+d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 200000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + df)) + 1) AS w FROM f JOIN d USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""", "docs")
+def feat_tfidf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.tfidf(docs(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 # Components.
 
 
