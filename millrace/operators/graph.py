@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import forgotten, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,15 +31,18 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """Columns node and component (the smallest node that can be reached), for each node with an edge to another.
 
     Large-star and small-star steps alternate until the edges are stars; each round's edges are a table in the
-    shared folder. Neighbours are only ever aggregated, never gathered, so a node may have any number of them.
+    shared folder, deleted after the next. Neighbours are only ever aggregated, never gathered, so a node may have any number of them.
     Rows with a null end are ignored.
     """
     now = written(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        forgotten(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
         mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v"), F.col("v")).distinct())
+    found = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v"), F.col("v")).distinct()), "components")
+    forgotten(now)
+    return found
