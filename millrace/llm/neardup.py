@@ -5,17 +5,20 @@ keeps its least hash. An empty bin takes the value of a bin that a fixed random
 (optimal densification). ROWS bins make a band, and texts with equal bands meet in a bucket.
 
 Texts with equal sets are one class from the start. In a bucket of classes one is the centre, and the others are
-linked to it only, so a bucket of n gives n - 1 candidates. Candidates are confirmed on the full sets. Classes that
+linked to it only, so a bucket of n gives n - 1 candidates. Each bucket draws its own centres. Classes that
 are in one component already need no candidate between them; buckets that still hold several components get a few
 other centres in the second round.
 
-What centres leave is done in full: in buckets that still hold several components, all pairs of classes of different components
-are compared by their prints. A print is a bitmap of PRINT bits, each the parity of the set's hashes that fall on it, so two prints differ
-in at most as many bits as the sets have elements that are in one of them only; pairs that differ in more than a link allows are no links.
-All others are confirmed on the full sets, first the nearest pair of each two components, then those whose classes are still apart.
+A print is a bitmap of PRINT bits, each the parity of the set's hashes that fall on it, so two prints differ in at most as many bits as the
+sets have elements that are in one of them only. Candidates whose prints differ in more bits than a link allows are no links; all others are
+confirmed on the full sets, which are written once for each class that shares a bucket.
 
-Defined cases: empty and null texts have no shingles and are linked with nothing; a null id is larger than
-all others, and the component of null ids only is null (its rows are kept); rows with equal ids and texts are kept or not alike.
+What centres leave is done in full: in buckets that still hold several components, the prints of classes of different components are compared,
+and only pairs that may be links leave the comparison. They are confirmed in the same way, first the nearest pair of each two components,
+then those whose classes are still apart. Components grow by the new links only, and tables go when nothing reads them any more.
+
+Defined cases: ids are of any type that has an order; empty and null texts have no shingles and are linked with nothing; a null id is larger
+than all others, and the component of null ids only is null (its rows are kept); rows with equal ids and texts are kept or not alike.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_bytes, buffers, map_batches, written
+from millrace.llm.common import as_bytes, buffers, map_batches
 from millrace.operators.graph import connected_components
+from millrace.session import forgotten, written
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
@@ -45,7 +50,6 @@ CENTRES = (1, 3)
 MOST_CENTRES = max(CENTRES)
 #: Bits of a print, a multiple of 64.
 PRINT = 1024
-NO_ID = 2**63 - 1
 
 _rng = np.random.default_rng(20240229)
 _odd = _rng.integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -143,6 +147,17 @@ def print_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sets_table(df: DataFrame, size: int) -> DataFrame:
+    """df: node, text (binary). node and the sorted hashes of the text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s.view(np.int64) for s in sets_of(*buffers(b.column(1)), size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return map_batches(df, run, "node long, set array<long>")
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Per row: id, n_shingles, th (hash of the text), digest of the set (null if empty), bands, print."""
 
@@ -165,28 +180,24 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return map_batches(one, run, f"id {df.schema[id_col].dataType.simpleString()}, n_shingles long, th long, digest binary, bands array<long>, print array<long>")
 
 
-def confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs: a, b, text_a, text_b. The (a, b) of which the sets' intersection is at least percent of the union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which the sets' intersection is at least percent of the union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for b in batches:
+            one, two = (pc.list_flatten(b.column(k)).to_numpy() for k in (2, 3))
+            at, to = (np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(k)).to_numpy())]) for k in (2, 3))
             kept = []
-            numbers = [b.column(k).to_pylist() for k in range(4)]
-            for i, (x, y, text_x, text_y) in enumerate(zip(*numbers, strict=True)):
-                two = []
-                for node, text in ((x, text_x), (y, text_y)):
-                    if node not in known:
-                        if len(known) >= 256:
-                            known.clear()
-                        known[node] = next(sets_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size))
-                    two.append(known[node])
-                both = len(np.intersect1d(*two, assume_unique=True))
-                if 100 * both >= percent * (len(two[0]) + len(two[1]) - both):
+            for i in range(b.num_rows):
+                x, y = one[at[i] : at[i + 1]], two[to[i] : to[i + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    return map_batches(pairs.select("a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary")), run, "a long, b long")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    return map_batches(both, run, "a long, b long")
 
 
 def placed(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -196,8 +207,14 @@ def placed(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
     return buckets.join(components.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, centres: int, percent: int) -> DataFrame:
-    """Pairs (a, b): in each bucket of several components, its centres with each member of another component.
+def apart_in(x: str, y: str):
+    """Differing bits of two prints."""
+    words = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PRINT // 64)]
+    return sum(words[1:], words[0]).cast("long")
+
+
+def candidates(buckets: DataFrame, components: DataFrame | None, prints: DataFrame, seed: int, centres: int, percent: int) -> DataFrame:
+    """Pairs (a, b): in each bucket of several components, its centres with each member of another component, if sizes and prints allow a link.
 
     Sets whose sizes alone rule a link out, the smaller being less than percent of the larger, make no pair.
     """
@@ -205,22 +222,25 @@ def candidates(buckets: DataFrame, components: DataFrame | None, seed: int, cent
     # All centres but the last are drawn from members of components first: a single class as the centre of a bucket full of one
     # component's members would be compared with every one of them.
     single = (F.col("c") == F.col("node")).cast("int")
-    drawn = [F.min(F.struct((F.lit(0) if k == centres - 1 else single).alias("s"), F.xxhash64("node", F.lit(seed * MOST_CENTRES + k)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"), F.col("n").alias("n"))) for k in range(centres)]
+    drawn = [F.min(F.struct((F.lit(0) if k == centres - 1 else single).alias("s"), F.xxhash64("node", "h", F.lit(seed * MOST_CENTRES + k)).alias("x"), F.col("node").alias("node"), F.col("c").alias("c"), F.col("n").alias("n"))) for k in range(centres)]
     stars = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array(*drawn).alias("m")).where("low <> high").select("h", "m")
     pairs = rows.join(stars, "h").select("node", "n", "c", F.explode("m").alias("m")).where("c <> m.c")
     pairs = pairs.where(100 * F.least("n", "m.n") >= percent * F.greatest("n", "m.n"))
-    return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+    pairs = pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+    side = lambda end: prints.select(F.col("node").alias(end), F.col("print").alias(f"print_{end}"), F.col("n").alias(f"n_{end}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.where((100 + percent) * apart_in("print_a", "print_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def remaining(buckets: DataFrame, components: DataFrame | None, prints: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes that share a bucket, are of different components, and may be linked by their sizes and prints.
 
-    prints: node, print. Columns a, b, c, d (their components, the smaller first), apart (differing bits, by size).
+    prints: node, n, print. Columns a, b, c, d (their components, the smaller first), apart (differing bits, by size).
     """
     rows = placed(buckets, components)
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     words = PRINT // 64
-    rows = rows.join(mixed, "h").join(prints, "node").select("h", "node", "n", "c", *[F.col("print")[k].alias(f"p{k}") for k in range(words)])
+    rows = rows.join(mixed, "h").join(prints.select("node", "print"), "node").select("h", "node", "n", "c", *[F.col("print")[k].alias(f"p{k}") for k in range(words)])
     x, y = rows.alias("x"), rows.alias("y")
     apart = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(1, words)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0")))).cast("long")
     both = F.col("x.n") + F.col("y.n")
@@ -229,6 +249,21 @@ def remaining(buckets: DataFrame, components: DataFrame | None, prints: DataFram
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.c", "y.c").alias("c"), F.greatest("x.c", "y.c").alias("d"), (apart / both).alias("apart")).distinct()
 
 
+def merged(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Columns node and component, after links (a, b) between classes of different components."""
+    if components is None:
+        return connected_components(links, "a", "b")
+    of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = connected_components(ends, "a", "b")
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = components.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = joined.join(components.select("node"), "node", "left_anti")
+    found = written(moved.unionAll(fresh), "components")
+    forgotten(joined, components)
+    return found
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Columns id_col, n_shingles, component_id, kept; one row for each row of df.
 
@@ -239,58 +274,65 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df, all their columns, of which one stays for each component; of rows with equal id and text one."""
-    names = ["_".join(["", *[""] * k, "key"]) for k in range(len(df.columns) + 1)]
-    key, th = [n for n in names if n not in df.columns][:1] + [n + "_text" for n in names if n + "_text" not in df.columns][:1]
-    gone = linked(df, id_col, text_col, size, percent).where(~F.col("kept")).select(F.coalesce("id", F.lit(NO_ID)).alias(key), F.col("th").alias(th)).distinct()
-    rows = df.withColumns({key: F.coalesce(id_col, F.lit(NO_ID)), th: F.xxhash64(text_col)})
-    return rows.join(gone, [key, th], "left_anti").dropDuplicates([key, th]).select(*df.columns)
+    th = next(n for n in ("_" * k + "text_hash" for k in range(len(df.columns) + 1)) if n not in df.columns)
+    gone = linked(df, id_col, text_col, size, percent).where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    rows = df.withColumn(th, F.xxhash64(text_col))
+    left = rows.join(gone, rows[id_col].eqNullSafe(gone["gone_id"]) & (rows[th] == gone["gone_th"]), "left_anti")
+    return left.dropDuplicates([id_col, th]).select(*df.columns)
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Columns id, th (hash of the text), n_shingles, component_id, kept; one row for each row of df."""
     base = written(sketched(df, id_col, text_col, size), "sketches")
-    least = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("th"))).alias("m")
+    # Nulls are the least of a struct, so a flag before the id puts them last.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"))).alias("m")
     grouped = base.where("digest is not null").groupBy("digest").agg(least, F.first("bands").alias("bands"), F.first("print").alias("print"), F.first("n_shingles").alias("n"))
     classes = written(grouped.select("digest", F.col("m.id").alias("id"), F.col("m.th").alias("th"), "n", "bands", "print", F.monotonically_increasing_id().alias("node")), "classes")
     rows = classes.select("node", "n", F.explode("bands").alias("h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     buckets = written(rows.join(shared, "h"), "buckets")
-    member = buckets.select("node").distinct().join(classes.select("node", "id", "th"), "node")
-    source = df.select(F.coalesce(id_col, F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    texts = written(member.join(source, ["id", "th"]).select("node", "text"), "texts")
-    components = tested = links = None
+    prints = classes.select("node", "n", "print")
+    member = buckets.select("node").distinct().join(classes.select("node", F.col("id").alias("class_id"), F.col("th").alias("class_th")), "node")
+    # Repeated rows are one text; a class takes the text of one of its rows.
+    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), as_bytes(text_col).alias("text")).dropDuplicates(["id", "th"])
+    own = member.join(source, F.col("class_id").eqNullSafe(F.col("id")) & (F.col("class_th") == F.col("th"))).select("node", "text")
+    sets = written(sets_table(own, size), "sets")
+    components = None
+    tested: list[DataFrame] = []
 
     def test(pairs: DataFrame) -> None:
-        nonlocal components, tested, links
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        nonlocal components
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        sides = sides.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        new = written(confirmed(sides, size, percent).distinct(), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            components = written(connected_components(links, "a", "b"), "components")
-        tested = pairs if tested is None else tested.unionAll(pairs)
+        tested.append(pairs)
+        links = written(confirmed(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            components = merged(components, links)
+        forgotten(links)
 
     for seed, centres in enumerate(CENTRES):
-        test(candidates(buckets, components, seed, centres, percent))
+        test(candidates(buckets, components, prints, seed, centres, percent))
     # Nothing is left out from here on: one link joins two components, so their nearest pair goes first, and then what it did not settle.
-    rest = remaining(buckets, components, classes.select("node", "print"), percent)
-    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = remaining(buckets, components, prints, percent)
+    for done in tested:
+        rest = rest.join(done, ["a", "b"], "left_anti")
+    rest = written(rest, "rest")
     if not rest.isEmpty():
         test(rest.groupBy("c", "d").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b"))
+        left = rest.select("a", "b")
         if components is not None:
             of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-            rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        test(rest.select("a", "b"))
+            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        test(left)
+    forgotten(buckets, sets, rest, *tested)
     named = classes.select("digest", "node", F.col("id").alias("component_id"))
     if components is not None:
         own = classes.select("node", "id").join(components, "node")
-        lowest = own.groupBy("component").agg(F.min("id").alias("component_id"))
-        mapped = own.join(lowest, "component").select("node", F.col("component_id").alias("found"))
-        named = named.join(mapped, "node", "left").select("digest", F.coalesce("found", "component_id").alias("component_id"))
-    named = named.select("digest", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+        lowest = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"))).alias("m"))
+        mapped = own.join(lowest, "component").select("node", F.col("m").alias("m"))
+        named = named.join(mapped, "node", "left").select("digest", F.when(F.col("m").isNull(), F.col("component_id")).otherwise(F.col("m.id")).alias("component_id"))
+    named = named.select("digest", "component_id")
     full = base.where("digest is not null").select("id", "th", "n_shingles", "digest").join(named, "digest").select("id", "th", "n_shingles", "component_id")
     alone = base.where("digest is null").select("id", "th", "n_shingles", F.col("id").alias("component_id"))
     return full.unionAll(alone).select("id", "th", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

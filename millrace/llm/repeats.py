@@ -9,9 +9,11 @@ where they fall by one from each place to the next, which streams the matching s
 a match of the length elsewhere are marked.
 
 Anchors with very many segments (a passage that a third of all documents share) are dealt to several indexes by
-content. Windows that are still open there, and one of each kind that is marked, are then counted by hash over all indexes.
+content. Windows that are still open there, and one of each kind that is marked, are then counted by two hashes over all indexes.
 
-Defined cases: null texts count as empty; a text shorter than the length keeps all its bytes; equal rows repeat each other. What is
+Texts are known by a 64-bit hash of theirs, so copies of a text, whatever their ids, have one set of places.
+
+Defined cases: ids are of any type; null texts count as empty; a text shorter than the length keeps all its bytes; equal rows repeat each other. What is
 left of a text is its other bytes joined, which need not be valid UTF-8.
 """
 
@@ -22,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, buffers, map_batches, written
-from millrace.llm.neardup import NO_ID, mixed
+from millrace.llm.neardup import mixed
 
 #: Distinct segments of one anchor in one index, and bytes of segments in an index at which it is closed.
 BLOCK_SEGMENTS, INDEX_BYTES = 8192, 1 << 20
@@ -173,41 +176,41 @@ class RunIndex:
 
 
 def occurrences(df: DataFrame, length: int) -> DataFrame:
-    """Per segment: anchor a, content s, th and id of its row, place."""
+    """Per segment: anchor a, content s, th of its text, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            th, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            data, offsets = buffers(b.column(2))
+            th = b.column(0).to_numpy()
+            data, offsets = buffers(b.column(1))
             found = [segments(data[offsets[k] : offsets[k + 1]], length) for k in range(len(th))]
             number = np.array([len(x[0]) for x in found], np.int64)
             if not number.sum():
                 continue
             first, count, anchor, content = (np.concatenate([x[k] for x in found]) for k in range(4))
-            columns = (anchor, content, np.repeat(th, number), np.repeat(ids, number), first * PLACE + count)
+            columns = (anchor, content, np.repeat(th, number), first * PLACE + count)
             for low in range(0, len(anchor), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 20_000]) for x in columns], names=["a", "s", "th", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 20_000]) for x in columns], names=["a", "s", "th", "place"])
 
-    return map_batches(df.select("th", "id", "text"), run, "a long, s long, th long, id long, place long")
+    return map_batches(df.select("th", "text"), run, "a long, s long, th long, place long")
 
 
 def with_bytes(df: DataFrame, mixed_: DataFrame, length: int) -> DataFrame:
-    """The segments of mixed_ (a, s, c, k, th, id, place) with their bytes and the index they belong to."""
-    wanted = mixed_.groupBy("th", "id").agg(F.collect_list(F.struct("a", "s", "c", "k", "place")).alias("parts"))
+    """The segments of mixed_ (a, s, c, k, th, place) with their bytes and the index they belong to; df has a text once for each of its copies."""
+    wanted = mixed_.groupBy("th").agg(F.collect_list(F.struct("a", "s", "c", "k", "place")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for th, key, text, parts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for th, text, parts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 for p in parts:
                     first, count = divmod(p["place"], PLACE)
-                    rows.append((p["a"], p["s"] % -(-p["k"] // BLOCK_SEGMENTS), p["k"] > BLOCK_SEGMENTS, p["c"], th, key, p["place"], text[first : first + count + length - 1]))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((p["a"], p["s"] % -(-p["k"] // BLOCK_SEGMENTS), p["k"] > BLOCK_SEGMENTS, p["c"], th, p["place"], text[first : first + count + length - 1]))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["a", "block", "open", "c", "th", "id", "place", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["a", "block", "open", "c", "th", "place", "bytes"])
 
-    both = df.join(wanted, ["th", "id"]).select("th", "id", "text", "parts")
-    return map_batches(both, run, "a long, block long, open boolean, c long, th long, id long, place long, bytes binary")
+    both = df.dropDuplicates(["th"]).join(wanted, "th").select("th", "text", "parts")
+    return map_batches(both, run, "a long, block long, open boolean, c long, th long, place long, bytes binary")
 
 
 def windows_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -217,49 +220,49 @@ def windows_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def marked(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """rows: (a, block, open, c, th, id, place, bytes) of whole blocks. Yields (th, id, place, a, window, is_open).
+    """rows: (a, block, open, c, th, place, bytes) of whole blocks. Yields (th, place, a, window, window2).
 
     Rows of marked windows have a null window. Of blocks that share their anchor with others, each open window comes with
-    its hash, and each kind of marked window once with a null row.
+    its two hashes, and each kind of marked window once with a null row.
     """
     number: dict[bytes, int] = {}
     for r in rows:
-        number.setdefault(r[7], len(number))
+        number.setdefault(r[6], len(number))
     strings = list(number)
     index = RunIndex(strings)
     matching = index.matching()
     for r in rows:
-        k = number[r[7]]
-        first, count = divmod(r[6], PLACE)
+        k = number[r[6]]
+        first, count = divmod(r[5], PLACE)
         flags = matching[index.starts[k] : index.starts[k] + count] >= length
         if r[3] > 1:
             flags[:] = True
         for at, n in windows_of(flags):
-            yield (r[4], r[5], (first + at) * PLACE + n, None, None)
+            yield (r[4], (first + at) * PLACE + n, None, None, None)
         if r[2]:
-            data = np.frombuffer(r[7], np.uint8).astype(np.uint64) + np.uint64(1)
+            data = np.frombuffer(r[6], np.uint8).astype(np.uint64) + np.uint64(1)
             up, down = _powers(len(data) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)])])
             hashes = mixed((sums[length : length + count] - sums[:count]) * down[:count]).view(np.int64)
             for at in range(count):
                 mine = None if flags[at] else (first + at) * PLACE + 1
-                yield (r[4], r[5], mine, r[0], int(hashes[at]))
+                yield (r[4], mine, r[0], int(hashes[at]), xxhash.xxh3_64_intdigest(r[6][at : at + length]) - 2**63)
 
 
 def indexed(segments_: DataFrame, length: int) -> DataFrame:
-    """Marked windows as (th, id, place), and windows to be counted over several indexes (with a and window)."""
+    """Marked windows as (th, place), and windows to be counted over several indexes (with a, window and window2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["th", "id", "place", "a", "window"], [pa.int64()] * 5
+        names, kinds = ["th", "place", "a", "window", "window2"], [pa.int64()] * 5
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            seen: set[tuple[int, int]] = set()
+            seen: set[tuple[int, int, int]] = set()
             made = []
             for r in marked(rows, length):
-                if r[3] is not None and r[2] is None:
-                    if (r[3], r[4]) in seen:
+                if r[2] is not None and r[1] is None:
+                    if r[2:] in seen:
                         continue
-                    seen.add((r[3], r[4]))
+                    seen.add(r[2:])
                 made.append(r)
             for low in range(0, len(made), 20_000):
                 part = list(zip(*made[low : low + 20_000], strict=True))
@@ -268,32 +271,32 @@ def indexed(segments_: DataFrame, length: int) -> DataFrame:
         rows: list[tuple] = []
         size, last = 0, None
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if size >= INDEX_BYTES and r[:2] != last:
                     yield from out(rows)
                     rows, size = [], 0
                 last = r[:2]
                 rows.append(r)
-                size += len(r[7])
+                size += len(r[6])
         if rows:
             yield from out(rows)
 
     dealt = segments_.repartition("a", "block").sortWithinPartitions("a", "block")
-    return map_batches(dealt, run, "th long, id long, place long, a long, window long")
+    return map_batches(dealt, run, "th long, place long, a long, window long, window2 long")
 
 
 def repeated_places(df: DataFrame, length: int) -> DataFrame:
-    """df: th, id, text (binary). Places (th, id, place) of all windows that occur elsewhere."""
+    """df: th, text (binary), a row for each copy. Places (th, place) of all windows that occur elsewhere, some of them more than once."""
     occ = occurrences(df, length)
-    kinds = occ.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("th", "id", "place")).alias("at"))
+    kinds = occ.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("th", "place")).alias("at"))
     anchors = kinds.groupBy("a").agg(F.count("*").alias("k"))
-    known = written(kinds.join(anchors, "a").where("c > 1 or k > 1").select("a", "s", "c", "k", "at.th", "at.id", "at.place"), "anchors")
-    whole = occ.join(known.where("c > 1").select("a", "s"), ["a", "s"]).select("th", "id", "place")
+    known = written(kinds.join(anchors, "a").where("c > 1 or k > 1").select("a", "s", "c", "k", "at.th", "at.place"), "anchors")
+    whole = occ.join(known.where("c > 1").select("a", "s"), ["a", "s"]).select("th", "place")
     found = written(indexed(with_bytes(df, known.where("k > 1"), length), length), "windows")
     counted = found.where("window is not null")
-    again = counted.groupBy("a", "window").agg(F.count("*").alias("n")).where("n > 1").select("a", "window")
-    across = counted.where("place is not null").join(again, ["a", "window"]).select("th", "id", "place")
-    return whole.unionAll(found.where("window is null").select("th", "id", "place")).unionAll(across)
+    again = counted.groupBy("a", "window", "window2").agg(F.count("*").alias("n")).where("n > 1").select("a", "window", "window2")
+    across = counted.where("place is not null").join(again, ["a", "window", "window2"]).select("th", "place")
+    return whole.unionAll(found.where("window is null").select("th", "place")).unionAll(across)
 
 
 def cut(text: bytes, places: list[int], length: int) -> tuple[bytes, int]:
@@ -311,9 +314,10 @@ def cut(text: bytes, places: list[int], length: int) -> tuple[bytes, int]:
 
 def without_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Columns id_col, n_bytes, n_removed, n_spans and kept (binary), or with digest kept_sha256; one row for each row of df."""
-    rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("text"))
-    places = repeated_places(rows.select("th", "id", "text"), length)
-    lists = places.groupBy("th", "id").agg(F.collect_list("place").alias("places"))
+    rows = df.select(F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), as_bytes(text_col).alias("text"))
+    places = repeated_places(rows.select("th", "text"), length)
+    # Copies of a text share one set of places, which its length bounds.
+    sets = places.groupBy("th").agg(F.collect_set("place").alias("places"))
     last = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +330,6 @@ def without_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", last])
 
-    both = rows.join(lists, ["th", "id"], "left").select(id_col, "text", "places")
+    both = rows.join(sets, "th", "left").select(id_col, "text", "places")
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(both, run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}")

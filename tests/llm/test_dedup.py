@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import neardup, repeats
 from tests.llm.helpers import ROWS, components, shingles, table
@@ -151,12 +152,12 @@ def marked_in_blocks(texts, length, size):
             if len(kinds) == 1 and len(places) == 1:
                 continue
             for k, first, count in places:
-                blocks.setdefault(s % -(-len(kinds) // size), []).append((a, 0, len(kinds) > size, len(places), k, 0, first * repeats.PLACE + count, texts[k][first : first + count + length - 1]))
+                blocks.setdefault(s % -(-len(kinds) // size), []).append((a, 0, len(kinds) > size, len(places), k, first * repeats.PLACE + count, texts[k][first : first + count + length - 1]))
         for rows in blocks.values():
             windows += repeats.marked(rows, length)
-    hashes = Counter((r[3], r[4]) for r in windows if r[3] is not None)
-    for th, _, place, a, w in windows:
-        if place is not None and (w is None or hashes[a, w] > 1):
+    hashes = Counter(r[2:] for r in windows if r[2] is not None)
+    for th, place, a, w, w2 in windows:
+        if place is not None and (w is None or hashes[a, w, w2] > 1):
             first, count = divmod(place, repeats.PLACE)
             out |= {(th, first + j) for j in range(count)}
     return out
@@ -178,6 +179,18 @@ def test_run_index_matches_brute_force():
             assert n == best
 
 
+def test_ids_of_any_type_and_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten " * 30
+    rows = [(f"d{k}", text) for k in range(40)] + [("d0", text)] * 60 + [(None, text)] * 60 + [("x", None), ("y", ""), (None, "alone and short")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, size=4).collect())
+    assert got == Counter((i, "d0" if t == text else i, i == ("d0" if t == text else i)) for i, t in rows)
+    assert sorted(r["doc_id"] or "" for r in neardup.keep_one(df).collect()) == ["", "d0", "x", "y"]
+    removed = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.without_repeats(df, 200).collect())
+    assert removed == Counter((i, len(t or ""), len(text) if t == text else 0) for i, t in rows)
+    assert max(r["n"] for r in repeats.repeated_places(df.selectExpr("xxhash64(text) th", "cast(text as binary) text").where("text is not null"), 200).groupBy("th").agg(F.size(F.collect_set("place")).alias("n")).collect()) < len(text)
+
+
 def test_empty_tables(spark):
     assert neardup.near_duplicates(table(spark).where("false")).count() == 0
     assert repeats.without_repeats(table(spark).where("false")).count() == 0
