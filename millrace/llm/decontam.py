@@ -5,8 +5,8 @@ word its state gives the longest run of words, ending there, that stands in some
 window's length makes the window's words hit, and the window's state names the items it stands in. Items shorter than a
 window are one window as a whole.
 
-Items are collected in blocks of bounded size and each block's automaton is broadcast; documents pass through
-the blocks one after the other in the same stage, without a shuffle. Null texts have no words; items without words
+Distinct items are collected in blocks of bounded size and each block is broadcast; documents pass through
+the blocks one after the other, without a shuffle, in one stage for each block. Null texts have no words; items without words
 never occur; items whose id is null count under the empty id.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, map_batches, worker_cache
+from millrace.session import forgotten, written
 
 WINDOW = 10
 #: Bytes of item texts in one automaton at most (but for a single longer item).
@@ -145,14 +146,16 @@ def merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items with words, in blocks that are collected one at a time."""
-    one = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), as_bytes(text_col)).where(F.length("text") > 0)
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
+    """The distinct items with words, in blocks that are collected one at a time, each with whether it is the last."""
+    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), as_bytes(text_col).alias("text"))
+    one = written(named.where(F.length("text") > 0).distinct(), "items")
     total = one.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     for k in range(count):
         part = one if count == 1 else one.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k)
-        yield [(r["name"], bytes(r["text"])) for r in part.collect()]
+        yield k + 1 == count, [(r["name"], bytes(r["text"])) for r in part.collect()]
+    forgotten(one)
 
 
 _automata: dict[int, Automaton] = worker_cache(__name__)
@@ -161,8 +164,7 @@ _automata: dict[int, Automaton] = worker_cache(__name__)
 def _automaton(shared, window: int) -> Automaton:
     """One automaton for each block and worker process, built there from the block's items."""
     if shared.id not in _automata:
-        if len(_automata) >= 2:
-            _automata.clear()
+        _automata.clear()
         _automata[shared.id] = Automaton(shared.value, window)
     return _automata[shared.id]
 
@@ -185,11 +187,15 @@ class _Shared:
 
 
 def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
-    """df with n_words, hit_runs (array<int>: start, end, ... in words) and hit_items (array<string>), with prefix before each name."""
+    """df with n_words, hit_runs (array<int>: start, end, ... in words) and hit_items (array<string>), with prefix before each name.
+
+    A worker holds one block's automaton at a time: between blocks what was found so far is written, and read again for the next.
+    """
     n_words, hit_runs, hit_items = (prefix + n for n in ("n_words", "hit_runs", "hit_items"))
     out = df.withColumns({n_words: F.lit(0).cast("long"), hit_runs: F.array().cast("array<int>"), hit_items: F.array().cast("array<string>")})
     context = df.sparkSession.sparkContext
-    for block in blocks(items, item_id, item_text, block_bytes):
+    before = None
+    for last, block in blocks(items, item_id, item_text, block_bytes):
         shared = _Shared(context.broadcast(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -208,6 +214,10 @@ def scan(df: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "
                 yield pa.RecordBatch.from_arrays([made.get(n, b.column(k)) for k, n in enumerate(b.schema.names)], names=b.schema.names)
 
         out = map_batches(out, run, out.schema)
+        if not last:
+            out, done = written(out, "scanned"), before
+            before = out
+            forgotten(done)
     return out
 
 

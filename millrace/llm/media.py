@@ -6,8 +6,8 @@ strongest bin is a peak if it stands out from the frame; peaks are paired with l
 the code (bin, later bin, distance in frames) at the time of its first peak, so a fingerprint is a list of
 time-coded numbers. All of it is a function of the bytes: equal texts have equal rows.
 
-Nulls count as empty texts, whose payload is 64 zero bytes. Long texts are transformed in blocks of frames,
-so the memory for one text is a small multiple of its size.
+Nulls count as empty texts, whose payload is 64 zero bytes. The samples' mean over the whole text is taken off before the transform.
+Long texts are transformed in blocks of frames, so the memory for one text is a small multiple of its size.
 """
 
 from __future__ import annotations
@@ -62,13 +62,14 @@ def peaks(samples: bytes) -> np.ndarray:
     """Strongest bin of each band for each frame, -1 where none stands out."""
     x = np.frombuffer(samples, np.uint8)
     frames = max(1, -(-len(x) // HOP))
+    mean = x.mean(dtype=np.float64) if len(x) else 0.0
     found = np.empty((frames, len(BANDS) - 1), np.int32)
     for first in range(0, frames, BLOCK_FRAMES):
         count = min(BLOCK_FRAMES, frames - first)
         part = x[first * HOP : first * HOP + (count - 1) * HOP + FRAME]
         line = np.zeros((count - 1) * HOP + FRAME, np.float32)
         line[: len(part)] = part
-        line[: len(part)] -= part.mean(dtype=np.float64)
+        line[: len(part)] -= mean
         grid = np.lib.stride_tricks.sliding_window_view(line, FRAME)[::HOP]
         spectrum = np.abs(np.fft.rfft(grid * _window, axis=1))
         least = STANDS_OUT * spectrum[:, BANDS[0] : BANDS[-1]].mean(axis=1)
@@ -97,40 +98,51 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int64), c[order]
 
 
+def time_coded(prints: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Fingerprints as one list of (frame, code) for each text."""
+    ends = np.cumsum([0, *(len(codes) for _, codes in prints)])
+    parts = [np.concatenate([p[k] for p in prints]) if prints else np.zeros(0, np.int64) for k in (0, 1)]
+    rows = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in parts], ["frame", "code"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
+PRINTS = "fingerprint array<struct<frame: int, code: int>>"
+
+
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of df: the stored media, its fingerprint as array<struct<frame, code>>, and the payload read back."""
+    """For each row of df: the stored media, the payload read back, and its fingerprint as array<struct<frame, code>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("frame", pa.int64()), ("code", pa.int64())]))
         for b in batches:
             media = [to_wav(padded(x)) for x in b.column(1).to_pylist()]
             payload = [from_wav(x) for x in media]
-            prints = [[{"frame": f, "code": c} for f, c in zip(*map(np.ndarray.tolist, fingerprint(x)), strict=True)] for x in payload]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(prints, kind)], names=[id_col, "media", "payload", "fingerprint"])
+            prints = time_coded([fingerprint(x) for x in payload])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), prints], names=[id_col, "media", "payload", "fingerprint"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, as_bytes(text_col)), run, f"{id_col} {kind}, media binary, payload binary, fingerprint array<struct<frame: long, code: long>>")
+    return map_batches(df.select(id_col, as_bytes(text_col)), run, f"{id_col} {kind}, media binary, payload binary, {PRINTS}")
 
 
 def summary(text: bytes) -> tuple:
-    """The digests of one text's media. feature: pairs, distinct codes, and a digest of frames and codes."""
+    """The digests of one text's media, and its fingerprint. feature: pairs, distinct codes, and a digest of frames and codes."""
     media = to_wav(padded(text))
     payload = from_wav(media)
     frames, codes = fingerprint(payload)
     marks = hashlib.sha256(np.concatenate([frames, codes]).astype("<i8").tobytes()).hexdigest()[:32]
     feature = f"{len(codes)}:{len(np.unique(codes))}:{marks}"
-    return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+    return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, (frames, codes))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of digests for each row of df; media and fingerprints are dropped as soon as they are digested."""
+    """One row of digests, and the fingerprint, for each row of df; media are dropped as soon as they are digested."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = list(zip(*map(summary, b.column(1).to_pylist()), strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[id_col, *names])
+            made = list(zip(*map(summary, b.column(1).to_pylist()), strict=True)) or [()] * (len(names) + 1)
+            columns = [pa.array(x, k) for x, k in zip(made[:-1], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, time_coded(list(made[-1]))], names=[id_col, *names, "fingerprint"])
 
     schema = ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True))
-    return map_batches(df.select(id_col, as_bytes(text_col)), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {schema}")
+    return map_batches(df.select(id_col, as_bytes(text_col)), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {schema}, {PRINTS}")

@@ -6,7 +6,7 @@ Cholesky factors, log determinants, log priors). Means and covariances are sums
 gathered by one aggregate; nothing is sampled.
 
 Null texts count as empty and get a score. Labels other than 0 and 1 are ignored; a row with several labels counts
-once for each. If a class has no training rows, every score is 0.5.
+once for each. If a class has no training rows there is no model: every score is 0.5, and a filter keeps all rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from millrace.llm.common import as_bytes, map_batches, written
+from millrace.llm.common import as_bytes, map_batches
+from millrace.session import written
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "digit", "stop", "shout", "symbol", "bar", "wide", "newline", "distinct", "lines", "packed", "commonest", "space")
 THRESHOLD = 0.7
@@ -90,12 +92,12 @@ def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def fit(rows: DataFrame, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Model:
-    """rows: columns x and quality. One row of sums for each class comes to the driver."""
+    """rows: columns x, quality and times, how often the row counts. One row of sums for each class comes to the driver."""
     p = len(FEATURES)
     x = [F.col("x")[i] for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(p)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    found = {r["quality"]: r for r in rows.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}
+    sums = [F.sum(x[i] * F.col("times")).alias(f"s{i}") for i in range(p)] + [F.sum(x[i] * x[j] * F.col("times")).alias(f"p{i}_{j}") for i, j in pairs]
+    found = {r["quality"]: r for r in rows.groupBy("quality").agg(F.sum("times").alias("n"), *sums).collect()}
     if len(found) < 2:
         return Model(np.zeros((0, p)), np.zeros((0, p, p)), np.zeros(0))
     n, mean, cov = [], [], []
@@ -118,9 +120,11 @@ def fit(rows: DataFrame, pooled: float = POOLED, diagonal: float = DIAGONAL) ->
 
 
 def training_rows(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Features with labels, of rows that are not held out. Both sides meet on the id; a hot id is split by adaptive execution."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col("quality").cast("int").alias("quality"))
-    return rows.where(~held_out(id_col)).join(known, id_col)
+    """Columns x, quality and times for the rows that are not held out. Labels are counted first, so each row meets one row of theirs."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(F.col("quality") == 1).alias("n1"))
+    both = rows.where(~held_out(id_col)).select(id_col, "x").join(known, id_col)
+    kinds = F.array(*[F.struct(F.lit(k).alias("quality"), F.col(f"n{k}").alias("times")) for k in (0, 1)])
+    return both.select("x", F.explode(kinds).alias("k")).select("x", "k.*").where("times > 0")
 
 
 def digests(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -138,13 +142,29 @@ def digests(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all their columns, whose score reaches the threshold."""
-    model = fit(training_rows(featured(df, id_col, text_col), labels, id_col))
+    """The rows of df, all their columns, whose score reaches the threshold; all rows if a class has no training rows.
+
+    Features are computed once: they are written beside the rows, for fitting and for scoring.
+    """
+    x = next(n for n in ("_" * k + "x" for k in range(1, len(df.columns) + 2)) if n not in df.columns)
+    names = [*df.columns, x]
+    schema = StructType([*df.schema.fields, StructField(x, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            x = np.array([features((t or "").encode()) for t in texts]).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) >= threshold))
+            made = pa.array([features((t or "").encode()) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=names)
+
+    rows = written(map_batches(df, run, schema), "features")
+    model = fit(training_rows(rows.select(id_col, F.col(x).alias("x")), labels, id_col))
+    if not len(model.mean):
+        return rows.drop(x)
+    columns = df.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = np.array(b.column(b.num_columns - 1).to_pylist(), np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(values) >= threshold)).select(columns)
 
-    return map_batches(df, run, df.schema)
+    return map_batches(rows, kept, df.schema)

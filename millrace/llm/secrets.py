@@ -21,7 +21,7 @@ PATTERNS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)""",
     "access": r"AKIA[A-Z0-9]{12,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{32,}+",
-    "random": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+",
+    "random": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
 }
 #: Symbols of the models; 0 stands for any other character.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-."
@@ -49,9 +49,9 @@ WORDS = (
 )
 
 
-def samples(spark: SparkSession, count: int = 4000) -> DataFrame:
-    """Labelled samples (value, random) by rule: digests in several encodings, and words joined in usual ways."""
-    ids = spark.range(count)
+def samples(spark: SparkSession, count: int = 4000, first: int = 0) -> DataFrame:
+    """Labelled samples (value, random) by rule, from number first on: digests in several encodings, and words joined in usual ways."""
+    ids = spark.range(first, first + count)
     digest = lambda k: F.unhex(F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256))
     kind = F.col("id") % 4
     value = F.when(kind == 0, F.base64(digest(0))).when(kind == 1, F.lower(F.hex(digest(1)))).when(kind == 2, F.regexp_replace(F.base64(digest(2)), "[+/=]", "")).otherwise(F.upper(F.regexp_replace(F.base64(digest(3)), "[+/=]", "")))

@@ -8,7 +8,7 @@ neighbouring keys. Then rows go to their shards in a single exchange.
 
 Shards are numbered in key order and hold nearly equal bytes (law `bytes`). Slots are numbered within
 buckets, narrower key ranges whose row counts are known, so that no task sorts a whole shard. Null ids come first, null
-texts have no bytes and size 1, an empty table gives no rows. Only DataFrame functions are used.
+texts have no bytes and size 1, equal texts are rows like all others and get slots of their own, an empty table gives no rows. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from millrace.llm.common import written
 
@@ -24,18 +25,20 @@ from millrace.llm.common import written
 PROBES = 32
 #: Share of a shard's bytes by which a splitter may miss its target.
 TOLERANCE = 0.0005
-#: Rows that a bucket should hold about, and the least and largest number of buckets in a shard; beyond
-#: that buckets grow, and a task sorts a larger one.
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 200_000, 4, 256
+#: Rows that a bucket should hold about, and the least number of buckets in a shard.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 4
 
 
 def hex_key(number: int) -> str:
     return format(number, "032x")
 
 
-def sort_key(id_col: str) -> Column:
-    """128 bits as 32 hex digits in the order of (id, row number)."""
-    high = F.lpad(F.hex(F.coalesce(F.col(id_col), F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+def sort_key(df: DataFrame, id_col: str) -> Column:
+    """128 bits as 32 hex digits in the order of (id, row number); of an id that is no integer, the first eight bytes of its text count."""
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        high = F.lpad(F.hex(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        high = F.rpad(F.hex(F.substring(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), 1, 8)), 16, "0")
     return F.lower(F.concat(high, F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
 
 
@@ -66,7 +69,7 @@ def splitters(rows: DataFrame, shards: int) -> tuple[list[str], dict[str, tuple[
     known = [low, high]
     targets = [total * k // shards for k in range(1, shards)]
     allowed = TOLERANCE * total / shards
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-ends[3] // (BUCKET_ROWS * shards))))
+    buckets = max(LEAST_BUCKETS, -(-ends[3] // (BUCKET_ROWS * shards)))
     wide = max(1, ends[3] // (shards * buckets))
     while True:
         probes = set()
@@ -105,7 +108,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     """Columns id_col, size, text_crc32, law, shard, slot, grown_shard; one row for each row of df."""
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32")
-    rows = written(df.select(F.col(id_col), size, crc, sort_key(id_col).alias("key")), "shards")
+    rows = written(df.select(F.col(id_col), size, crc, sort_key(df, id_col).alias("key")), "shards")
     starts, below = splitters(rows.select("key", "size"), shards)
     cuts = sorted(set(below) | set(starts)) or [hex_key(0)]
     # Of each bucket: its shard, and the rows of the shard before it.

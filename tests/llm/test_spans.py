@@ -66,5 +66,21 @@ def test_random_strings(spark):
     assert min(r["r"] for r in scored if r["random"]) > secrets.THRESHOLD > max(r["r"] for r in scored if not r["random"])
 
 
+def test_precision_and_recall_on_held_out_strings(spark):
+    """Samples that training has not seen, whole and cut to 16 to 40 characters, as candidates of a text."""
+    rows = [(k, r["value"][: 16 + k % 25], r["random"]) for k, r in enumerate(secrets.samples(spark, 2000, first=10**6).collect())]
+    rows = [(k, v, kind) for k, v, kind in rows if len(v) >= 16]
+    df = table(spark, [(k, f"see {v} here") for k, v, _ in rows])
+    found = {r["doc_id"] for r in secrets.digests(df).collect() if any(x.split(":")[0] in ("random", "hex") for x in r["spans"].split(","))}
+    real = {k for k, _, kind in rows if kind}
+    assert len(real) > 1500 and len(found & real) >= 0.97 * len(real) and len(found & real) >= 0.98 * len(found)
+
+
+def test_prose_has_few_random_strings(spark, data):
+    """The candidates need no digit, so long words, paths and names reach the models as well."""
+    df = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "regexp_replace(text, '[0-9]', '') AS text")
+    assert secrets.digests(df).where("spans LIKE '%random%'").count() <= 0.02 * df.count()
+
+
 def test_empty_tables(spark):
     assert pii.digests(table(spark).where("false")).count() == secrets.digests(table(spark).where("false")).count() == 0
