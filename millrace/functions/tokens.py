@@ -25,9 +25,14 @@ def vocabulary(extra: tuple[str, ...] = ()) -> list[str]:
 
 
 def byte_ids(data: Column) -> Column:
-    """Ids of the bytes of binary data."""
-    text = F.hex(data)
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(2)), lambda k: F.conv(F.substring(text, k, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)).otherwise(F.array().cast("array<int>"))
+    """Ids of the bytes of binary data, in one pass over its hex text; none for null."""
+    pairs = F.regexp_extract_all(F.hex(F.coalesce(data, F.lit(b""))), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + FIRST_BYTE)
+
+
+def bound(value: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def connection_token(kind: Column) -> Column:
@@ -54,16 +59,19 @@ def flow_ids(prefix: Column, directions: Column, pieces: Column) -> Column:
 
 def encoded(ids: Column, length: int = 512) -> Column:
     """Struct input_ids, attention_mask: CLS, as many ids as fit, SEP, padding."""
-    body = F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, length - 2), F.array(F.lit(SEP)))
-    gap = length - F.size(body)
-    return F.struct(F.concat(body, F.array_repeat(F.lit(PAD), gap)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.size(body)), F.array_repeat(F.lit(0), gap)).alias("attention_mask"))
+
+    def padded(body: Column) -> Column:
+        gap = length - F.size(body)
+        return F.struct(F.concat(body, F.array_repeat(F.lit(PAD), gap)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), F.size(body)), F.array_repeat(F.lit(0), gap)).alias("attention_mask"))
+
+    return bound(F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, length - 2), F.array(F.lit(SEP))), padded)
 
 
 def windows(ids: Column, length: int = 512, stride: int = 384) -> Column:
     """Overlapping runs of length - 2 ids, the last of which reaches the end; one empty run if there are no ids."""
     body = length - 2
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - body, F.lit(0)) + stride - 1, F.lit(stride))
-    return F.transform(starts, lambda s: F.slice(ids, s + 1, body))
+    starts = lambda x: F.sequence(F.lit(0), F.greatest(F.size(x) - body, F.lit(0)) + stride - 1, F.lit(stride))
+    return bound(ids, lambda x: F.transform(starts(x), lambda s: F.slice(x, s + 1, body)))
 
 
 def first_window_digest(ids: Column, length: int = 512) -> Column:

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def nearest_label(flows: DataFrame, labels: DataFrame, keys: list[str], flow_id: str, flow_time: str, label_time: str, label: str, order: str, tolerance: float) -> DataFrame:
-    """For each flow with a match: flow_id, label, delta. Both sides meet on their keys; a hot key is split by adaptive execution.
+    """For each flow with a match: flow_id, label, delta. Smallest distance; of equal ones the later record, then the first in order
+    at or behind the flow and the last before it.
 
     If the flow or all records of its key have no time, the first record in order matches and delta is null; records without time
     are passed over where others have one.
+
+    Flows and records are cut into stretches of time as long as the tolerance, and each record also goes to the stretches beside its own. In a stretch
+    of a key one pass in order carries the last record on to the flows behind it, and one pass back the next record, so no pairs are made, and a
+    key with very many rows is as many tasks as it has stretches.
     """
-    right = labels.select(*keys, F.col(label_time).alias("_lt"), F.col(label).alias("_label"), F.col(order).alias("_order"))
-    timed = F.abs(F.col("_lt") - F.col(flow_time)) <= tolerance
-    pairs = flows.join(right, keys)
-    distance = F.abs(F.col("_lt") - F.col(flow_time))
-    # Smallest distance; of equal ones the later record, then the first in order behind the flow and the last before it.
-    rank = F.when(timed, F.struct(distance, -F.col("_lt"), F.when(F.col("_lt") >= F.col(flow_time), F.col("_order")).otherwise(-F.col("_order"))))
-    found = pairs.groupBy(flow_id).agg(
-        F.first(flow_time, ignorenulls=True).alias("_ft"), F.max("_lt").alias("_any"), F.min_by("_label", "_order").alias("_first"),
-        F.min_by(F.struct("_label", distance.alias("delta")), rank).alias("_near"),
-    )
-    untimed = F.col("_ft").isNull() | F.col("_any").isNull()
-    named = found.select(flow_id, F.when(untimed, F.col("_first")).otherwise(F.col("_near._label")).alias("label"), F.when(~untimed, F.col("_near.delta")).alias("delta"))
-    return named.where(F.col("label").isNotNull())
+    right = labels.select(*keys, F.col(label_time).cast("double").alias("_t"), F.col(label).alias("_label"), F.col(order).alias("_order"))
+    left = flows.select(*keys, F.col(flow_id), F.col(flow_time).cast("double").alias("_t"))
+    width = max(float(tolerance), 1.0)
+    stretch = F.floor(F.col("_t") / width)
+    marks = right.where("_t is not null").select("*", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"), F.struct("_t", "_label").alias("_mark"))
+    rows = left.where("_t is not null").withColumn("_s", stretch).unionByName(marks.drop("_label"), allowMissingColumns=True)
+    by, is_mark = Window.partitionBy(*keys, "_s"), F.col("_mark").isNotNull()
+    before = F.last("_mark", ignorenulls=True).over(by.orderBy("_t", is_mark, "_order").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_mark", ignorenulls=True).over(by.orderBy(F.desc("_t"), is_mark.desc(), F.desc("_order")).rowsBetween(Window.unboundedPreceding, -1))
+    near = rows.withColumns({"_a": before, "_b": after}).where(~is_mark)
+    back, ahead = F.col("_t") - F.col("_a._t"), F.col("_b._t") - F.col("_t")
+    best = F.when(ahead <= F.coalesce(back, F.lit(float("inf"))), F.struct(F.col("_b._label").alias("label"), ahead.alias("delta"))).otherwise(F.struct(F.col("_a._label").alias("label"), back.alias("delta")))
+    timed = near.select(flow_id, best.alias("m")).select(flow_id, "m.*").where(F.col("delta") <= tolerance)
+    first = right.groupBy(*keys).agg(F.min_by("_label", "_order").alias("label"), F.max("_t").alias("_any"))
+    untimed = left.join(first, keys).where(F.col("_t").isNull() | F.col("_any").isNull()).select(flow_id, "label", F.lit(None).cast("double").alias("delta"))
+    return timed.unionAll(untimed).where(F.col("label").isNotNull())
 
 
 def two_way_label(flows: DataFrame, labels: DataFrame, ends: tuple[str, str], label_ends: tuple[str, str], flow_id: str, flow_time: str, label_time: str, label: str, order: str, tolerance: float) -> DataFrame:
@@ -52,6 +60,16 @@ def label_records(raw: DataFrame, aliases: dict[str, tuple[str, ...]], required:
     return df.where(F.trim("label") != "").withColumn("label", F.trim("label"))
 
 
+def afternoon(seconds: Column, file: Column, files: dict[str, int]) -> Column:
+    """Times of label files that write afternoon hours as 1 to 7 (or 1 to 11): 12 hours later where the hour is below the file's own limit.
+
+    files: part of a file's name, in lower case, and the hour below which its times are moved. The first one that fits counts.
+    """
+    hour = F.floor(F.pmod(seconds, F.lit(86400.0)) / 3600)
+    limit = F.coalesce(*[F.when(F.lower(file).contains(name), F.lit(below)) for name, below in files.items()], F.lit(0))
+    return F.when(hour < limit, seconds + 12 * 3600).otherwise(seconds)
+
+
 def label_time(text: Column) -> Column:
     """Day-first times, then year-first, then month-first ones; seconds since 1970, null if no form fits."""
     forms = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm")

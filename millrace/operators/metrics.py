@@ -114,19 +114,37 @@ def candidate_thresholds(df: DataFrame, score: str, steps: int = 999, quantiles:
     return even.union(df.select(F.explode(F.percentile(score, at)).alias("threshold"))).distinct()
 
 
+def reached(score: Column, thresholds: list[float]) -> Column:
+    """How many of the sorted thresholds a score reaches, by binary search; 0 for null."""
+    # One literal, which constant folding parses once.
+    array = F.split(F.lit(",".join(map(repr, thresholds))), ",").cast("array<double>")
+
+    def step(at: Column, _: Column) -> Column:
+        low, high = at["low"], at["high"]
+        middle = F.shiftright(low + high, 1)
+        hit = F.coalesce(F.get(array, middle) <= score, F.lit(False))
+        return F.when(low >= high, at).otherwise(F.struct(F.when(hit, middle + 1).otherwise(low).alias("low"), F.when(hit, high).otherwise(middle).alias("high")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(thresholds).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(thresholds)).alias("high")), step)["low"]
+
+
 def threshold_sweep(df: DataFrame, score: str, target: Column, thresholds: DataFrame) -> DataFrame:
     """Per threshold: tp, fp, fn, tn, precision, recall, f1 of score >= threshold.
 
-    Scores are first counted by the highest threshold they reach, so what is summed in order is one row a threshold.
+    Thresholds are few, as candidate_thresholds bounds them. Rows are counted by how many thresholds they reach, so that one row for each
+    threshold comes to the driver, where they are summed up from the highest down.
     """
-    marks = thresholds.select(F.col("threshold").alias("k"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("neg"))
-    distinct = df.groupBy(F.col(score).alias("k")).agg(F.count_if(target).alias("pos"), F.count_if(~target).alias("neg"))
-    above = Window.partitionBy(F.lit(1)).orderBy("k").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy(F.lit(1))
-    both = distinct.union(marks.select("k", "pos", "neg"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    n = both.withColumns({"tp": zero(F.sum("pos").over(above)), "fp": zero(F.sum("neg").over(above)), "p": zero(F.sum("pos").over(every)), "q": zero(F.sum("neg").over(every))}).where("pos is null")
-    return with_rates(n.select(F.col("k").alias("threshold"), "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("q") - F.col("fp")).alias("tn")))
+    marks = sorted(r[0] for r in thresholds.select("threshold").distinct().collect() if r[0] is not None)
+    counted = df.groupBy(reached(F.col(score), marks).alias("at")).agg(F.count_if(target).alias("pos"), F.count_if(~target).alias("neg"))
+    pos, neg = [0] * (len(marks) + 1), [0] * (len(marks) + 1)
+    for r in counted.collect():
+        pos[r["at"]], neg[r["at"]] = r["pos"], r["neg"]
+    rows, tp, fp = [], 0, 0
+    for k in range(len(marks), 0, -1):
+        tp, fp = tp + pos[k], fp + neg[k]
+        rows.append((marks[k - 1], tp, fp, sum(pos) - tp, sum(neg) - fp))
+    return with_rates(df.sparkSession.createDataFrame(rows, "threshold double, tp long, fp long, fn long, tn long"))
 
 
 def best_threshold(sweep: DataFrame, min_recall: float, min_f1: float) -> DataFrame:
@@ -138,10 +156,13 @@ def best_threshold(sweep: DataFrame, min_recall: float, min_f1: float) -> DataFr
 
 def calibrated(df: DataFrame, truth: str, probs: str, names: list[str], candidates: list[float]) -> DataFrame:
     """Per label the threshold of the highest f1, of equal ones the higher; 0.5 where no row has the label."""
-    at = F.array(*[F.lit(c) for c in candidates])
-    rows = df.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col(probs).alias("p"))).alias("k", "x")).select("k", (F.col("x.t") == 1).alias("t"), F.explode(at).alias("threshold"), F.col("x.p").alias("p"))
-    g = F.col("p") >= F.col("threshold")
-    n = rows.groupBy("k", "threshold").agg(F.count_if(F.col("t") & g).alias("tp"), F.count_if(~F.col("t") & g).alias("fp"), F.count_if(F.col("t") & ~g).alias("fn"))
+    marks = sorted(set(candidates))
+    rows = df.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col(probs).alias("p"))).alias("k", "x")).select("k", (F.col("x.t") == 1).alias("t"), reached(F.col("x.p"), marks).alias("at"))
+    # One row for each label and candidate is left before the candidates are tried.
+    counted = rows.groupBy("k", "at").agg(F.count_if("t").alias("pos"), F.count_if(~F.col("t")).alias("neg"))
+    tried = counted.select("k", "at", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(len(marks)))).alias("m"))
+    over = lambda c: F.sum(F.when(F.col("at") >= F.col("m"), F.col(c)).otherwise(0))
+    n = tried.groupBy("k", F.element_at(F.lit(marks), F.col("m")).alias("threshold")).agg(over("pos").alias("tp"), over("neg").alias("fp"), (F.sum("pos") - over("pos")).alias("fn"))
     n = n.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "support": F.col("tp") + F.col("fn")})
     n = n.withColumn("f1", f1_of(F.col("precision"), F.col("recall")))
     best = n.groupBy("k").agg(F.max_by(F.struct("threshold", "f1", "precision", "recall", "support"), F.struct("f1", "threshold")).alias("m")).select("k", "m.*")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import stable_bucket
 
 TRAIN, VAL = 0.7, 0.15
+#: Seconds of a stretch of time within which groups are put in order by one task.
+STRETCH = 600
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -31,9 +33,25 @@ def _sliced(n: Column, position: Column, train: float, val: float) -> Column:
     return F.when(n == 1, "train").when(n == 2, F.when(position == 0, "train").otherwise("test")).otherwise(usual)
 
 
-def first_rows(df: DataFrame, group: str, order: list) -> DataFrame:
-    """The first row of each group in the order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("_n = 1").drop("_n")
+def first_rows(df: DataFrame, group: str, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Of each group, the columns (all if none are named) of its first row in the order; only the first row so far is held for a group."""
+    names = [c for c in (df.columns if columns is None else columns) if c != group]
+    return df.groupBy(group).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r")).select(group, "_r.*")
+
+
+def ranked(groups: DataFrame, stratum: str, coarse: Column, order: list[Column]) -> DataFrame:
+    """groups with _p, the place (from 0) in the stratum by coarse and then order, and _c, the stratum's groups.
+
+    coarse cuts a stratum's order into stretches: their sizes are counted first, so that rows are only ordered within a stretch, and
+    no task orders a whole stratum.
+    """
+    rows = groups.withColumn("_k", coarse)
+    sizes = rows.groupBy(stratum, "_k").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(stratum).alias("_s"), F.col("_k").alias("_k2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(stratum)).alias("_c"))
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_k").orderBy(*order)) - 1)
+    both = placed.join(offsets, F.col(stratum).eqNullSafe(F.col("_s")) & F.col("_k").eqNullSafe(F.col("_k2")))
+    return both.withColumn("_p", F.col("_before") + F.col("_i")).drop("_s", "_k", "_k2", "_i", "_before")
 
 
 def assigned(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
@@ -43,18 +61,16 @@ def assigned(df: DataFrame, groups: DataFrame, group: str) -> DataFrame:
 
 def stratified_hash_split(df: DataFrame, group: str, stratum: str, order: list, train: float = TRAIN, val: float = VAL) -> DataFrame:
     """Per group: stratum (of its first row) and split; groups of a stratum are put in hash order and cut by ratio."""
-    groups = first_rows(df, group, order).select(group, stratum)
-    rank = Window.partitionBy(stratum).orderBy(stable_bucket(F.concat_ws(":", stratum, group)), F.col(group))
-    whole = Window.partitionBy(stratum)
-    return groups.withColumns({"_p": F.row_number().over(rank) - 1, "_c": F.count("*").over(whole)}).select(group, stratum, _sliced(F.col("_c"), F.col("_p"), train, val).alias("split"))
+    groups = first_rows(df, group, order, [stratum])
+    bucket = stable_bucket(F.concat_ws(":", stratum, group))
+    return ranked(groups, stratum, bucket, [F.col(group)]).select(group, stratum, _sliced(F.col("_c"), F.col("_p"), train, val).alias("split"))
 
 
 def time_ordered_split(df: DataFrame, group: str, stratum: str, time: str, order: list, train: float = TRAIN, val: float = VAL) -> DataFrame:
     """The same, with groups in order of their earliest row's time."""
-    groups = first_rows(df, group, [time, *order]).select(group, stratum, time)
-    rank = Window.partitionBy(stratum).orderBy(F.col(time), stable_bucket(F.concat_ws(":", stratum, group)), F.col(group))
-    whole = Window.partitionBy(stratum)
-    return groups.withColumns({"_p": F.row_number().over(rank) - 1, "_c": F.count("*").over(whole)}).select(group, stratum, _sliced(F.col("_c"), F.col("_p"), train, val).alias("split"))
+    groups = first_rows(df, group, [time, *order], [stratum, time])
+    by = [F.col(time), stable_bucket(F.concat_ws(":", stratum, group)), F.col(group)]
+    return ranked(groups, stratum, F.floor(F.col(time) / STRETCH), by).select(group, stratum, _sliced(F.col("_c"), F.col("_p"), train, val).alias("split"))
 
 
 def time_block_split(df: DataFrame, group: str, stratum: str, time: str, order: list, block: int = 512, seed: int = 13, train: float = TRAIN, val: float = VAL) -> DataFrame:
@@ -62,9 +78,8 @@ def time_block_split(df: DataFrame, group: str, stratum: str, time: str, order:
 
     Only blocks, not groups, are gathered for the sequential rule: a stratum's rows divided by the block's size.
     """
-    groups = first_rows(df, group, [time, *order]).select(group, stratum, time)
-    by = Window.partitionBy(stratum).orderBy(time, group)
-    rows = groups.withColumns({"_p": F.row_number().over(by) - 1, "_c": F.count("*").over(Window.partitionBy(stratum))})
+    groups = first_rows(df, group, [time, *order], [stratum, time])
+    rows = ranked(groups, stratum, F.floor(F.col(time) / STRETCH), [F.col(time), F.col(group)])
     size = F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("_c") / 3))).cast("long")
     rows = rows.withColumn("_size", size).withColumn("_block", F.floor(F.col("_p") / F.col("_size")))
     last, tail = F.floor((F.col("_c") - 1) / F.col("_size")), F.col("_c") % F.col("_size")
@@ -115,5 +130,6 @@ def rebalanced(df: DataFrame, label: str, group: str, split: str, least: int = 1
 
 def submode_stratum(df: DataFrame, label: str, shape: str, least: int = 10) -> DataFrame:
     """df with stratum: the label, with its shape behind it where the label has rows enough."""
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("stratum", F.when(n >= max(3 * least, 20), F.concat_ws("::", label, shape)).otherwise(F.col(label)))
+    many = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(3 * least, 20)).select("_l")
+    out = df.join(many, F.col(label) == F.col("_l"), "left")
+    return out.withColumn("stratum", F.when(F.col("_l").isNotNull(), F.concat_ws("::", label, shape)).otherwise(F.col(label))).drop("_l")

@@ -22,27 +22,41 @@ def prior(value: Column, keys: list[str], time: str, order: str, seconds: int) -
     return F.coalesce(F.sum(value).over(frame) - F.sum(value).over(peers), F.lit(0)).cast("long")
 
 
-def prior_distinct(value: Column, keys: list[str], time: str, order: str, seconds: int) -> Column:
-    """Distinct values over the same rows as prior(). Each frame's rows are held as an array: frames are bounded by seconds."""
-    frame = Window.partitionBy(*keys).orderBy(time).rangeBetween(-seconds * MICROS, 0)
-    rows = F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"), value.alias("v"))).over(frame)
-    before = F.filter(rows, lambda x: (x["t"] < F.col(time)) | ((x["t"] == F.col(time)) & (x["o"] < F.col(order))))
-    return F.size(F.array_distinct(F.transform(before, lambda x: x["v"]))).cast("long")
+def with_prior_distinct(df: DataFrame, name: str, value: str, keys: list[str], time: str, order: str, seconds: int) -> DataFrame:
+    """df with name: distinct values (null being one of them) over the same rows as prior().
+
+    A row counts from itself on, until its value comes again or it is too old, whichever is first. So three marks a row, a question, a
+    beginning and an end, are summed up in order; nothing is held but the sum.
+    """
+    same = Window.partitionBy(*keys, value).orderBy(time, order)
+    own = df.withColumns({"_next": F.lead(time).over(same), "_next_order": F.lead(order).over(same)})
+    until = F.col(time) + seconds * MICROS
+    replaced = F.col("_next") <= until
+    mark = lambda t, late, o, kind, plus: F.struct(t.alias("t"), F.lit(late).alias("late") if isinstance(late, int) else late.alias("late"), o.alias("o"), F.lit(kind).alias("kind"), F.lit(plus).alias("plus"))
+    at, its = F.col(time), F.col(order)
+    end = mark(F.when(replaced, F.col("_next")).otherwise(until), F.when(replaced, 0).otherwise(1), F.when(replaced, F.col("_next_order")).otherwise(its), 1, -1)
+    marks = own.select(*keys, F.explode(F.array(mark(at, 0, its, 1, 1), end)).alias("_m"))
+    asked = df.withColumn("_m", mark(at, 0, its, 0, 0))
+    # A question comes before the beginnings and ends of its own place, and ends by age behind all rows of their time.
+    up_to = Window.partitionBy(*keys).orderBy("_m.t", "_m.late", "_m.o", "_m.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = asked.unionByName(marks, allowMissingColumns=True).withColumn(name, F.sum("_m.plus").over(up_to))
+    return rows.where("_m.kind = 0").drop("_m")
 
 
 def flow_context(df: DataFrame, keys: list[str], time: str, order: str, connection: str, payload: str, port: str, host: str) -> DataFrame:
     """The seven context features of each flow: counts over 60 and 300 seconds before it, by kind, and distinct targets."""
     is_reset, is_control = F.col(connection) == "tcp_reset_or_refused", F.col(connection) == "tcp_control_only"
     count = lambda c, s: prior(c.cast("long"), keys, time, order, s)
-    return df.withColumns(
+    out = df.withColumns(
         {
             "context_host_flow_count_60s": count(F.lit(1), 60), "context_host_flow_count_300s": count(F.lit(1), 300),
             "context_host_reset_count_60s": count(is_reset, 60), "context_host_control_count_60s": count(is_control, 60),
             "context_host_payload0_count_60s": count(F.coalesce(F.col(payload), F.lit(0)) <= 0, 60),
-            "context_host_distinct_dport_60s": prior_distinct(F.col(port), keys, time, order, 60),
-            "context_host_distinct_dhost_60s": prior_distinct(F.col(host), keys, time, order, 60),
         }
     )
+    for name, value in (("context_host_distinct_dport_60s", port), ("context_host_distinct_dhost_60s", host)):
+        out = with_prior_distinct(out, name, value, keys, time, order, 60)
+    return out
 
 
 def trailing_max(score: str, keys: list[str], time: str, order: str, seconds: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
@@ -106,17 +106,18 @@ def prj_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).withColumn("p", F.expr("nullif(payload_byte_length, 0)")).select("flow_id", x.alias("x")).select("flow_id", F.round(F.col("x")[0], 9).alias("a"), F.round(F.col("x")[1], 9).alias("b"))
 
 
-@query("SELECT doc_id, n, lower(hex(piece)) AS piece FROM (SELECT doc_id, unnest([1, 2, 3]) AS n, unnest([bytes[1:2], bytes[3:7], bytes[8:10]]) AS piece FROM docs WHERE octet_length(bytes) >= 10)", "docs")
+@query("SELECT doc_id, k AS n, lower(hex(piece)) AS piece FROM (SELECT doc_id, unnest([1, 2, 3]) AS k, unnest([bytes[1:2], bytes[3:7], bytes[8:]]) AS piece FROM docs)", "docs")
 def prj_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring("bytes", 1, 10)
-    pieces = C.packet_chunks(first, F.array(F.lit(2), F.lit(5), F.lit(3)))
-    return docs(spark, sf_dir).where("octet_length(bytes) >= 10").select("doc_id", F.posexplode(pieces).alias("n", "piece")).select("doc_id", (F.col("n") + 1).alias("n"), F.lower(F.hex("piece")).alias("piece"))
+    n = F.coalesce(F.octet_length("bytes"), F.lit(0))
+    lengths = F.array(F.least(n, F.lit(2)), F.least(F.greatest(n - 2, F.lit(0)), F.lit(5)), F.greatest(n - 7, F.lit(0)))
+    pieces = C.packet_chunks(F.coalesce("bytes", F.lit(b"")), lengths)
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("n", "piece")).select("doc_id", (F.col("n") + 1).alias("n"), F.lower(F.hex("piece")).alias("piece"))
 
 
-@query("SELECT flow_id, CASE flow_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS bytes FROM flows")
+@query("SELECT flow_id, CASE flow_id % 3 WHEN 0 THEN initiator_endpoint WHEN 1 THEN responder_endpoint ELSE source_label END AS bytes FROM flows")
 def prj_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(F.lit("payload_only"), F.lit("full_packet"), F.lit("masked_header_packet")), (F.col("flow_id") % 3 + 1).cast("int"))
-    return flows(spark, sf_dir).select("flow_id", C.view_bytes(names, F.lit("a"), F.lit("b"), F.lit("c")).alias("bytes"))
+    return flows(spark, sf_dir).select("flow_id", C.view_bytes(names, F.col("initiator_endpoint"), F.col("responder_endpoint"), F.col("source_label")).alias("bytes"))
 
 
 @query("SELECT flow_id, v.view, CASE v.view WHEN 'payload_only' THEN payload_byte_length ELSE packet_count END AS n FROM flows, (VALUES ('payload_only'), ('full_packet')) v(view)")
@@ -155,23 +156,26 @@ def prj_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).select("flow_id", L.major_id(F.col("major_label")).alias("id"))
 
 
-@query("SELECT flow_id, major_label, event_type FROM flows ORDER BY major_label, start_time, flow_id LIMIT 500")
-def ord_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).orderBy("major_label", "start_time", "flow_id").limit(500).select("flow_id", "major_label", "event_type")
-
-
 @query("SELECT flow_id, major_label, event_type FROM flows ORDER BY major_label, start_time, flow_id")
-def ord_stable_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ord_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).orderBy("major_label", "start_time", "flow_id").select("flow_id", "major_label", "event_type")
 
 
 # Tokens and codebooks.
 
 
-@query("SELECT doc_id, CAST(octet_length(bytes) AS INTEGER) AS n, CAST(ord(left(text, 1)) AS INTEGER) AS first FROM docs WHERE ascii(left(text, 1)) < 128 AND octet_length(bytes) > 0", "docs")
+_IDS = ", i AS (SELECT doc_id, list_transform(regexp_extract_all(hex(bytes), '..'), lambda h: CAST('0x' || h AS INTEGER) + 8) AS ids FROM docs)"
+
+
+def _digest(ids: Column) -> Column:
+    """The ids, comma-joined, as MD5."""
+    return F.md5(F.array_join(ids, ","))
+
+
+@query(_IDS + " SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS ids FROM i", "docs")
 def tok_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = T.byte_ids(F.col("bytes"))
-    return docs(spark, sf_dir).where("ascii(left(text, 1)) < 128 AND octet_length(bytes) > 0").select("doc_id", F.size(ids).alias("n"), (ids[0] - T.FIRST_BYTE).alias("first"))
+    rows = docs(spark, sf_dir).select("doc_id", T.byte_ids(F.col("bytes")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("n"), _digest(F.col("ids")).alias("ids"))
 
 
 @query("SELECT flow_id, CASE connection_type WHEN 'tcp_payload' THEN 264 WHEN 'tcp_control_only' THEN 265 WHEN 'tcp_reset_or_refused' THEN 266 WHEN 'udp_payload' THEN 267 ELSE 268 END AS token FROM flows")
@@ -184,25 +188,30 @@ def tok_ctx_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).select("flow_id", T.context_step(F.col("payload_byte_length")).alias("step"))
 
 
-@query("SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS window, CAST(least(510, n - i * 384) AS INTEGER) AS size FROM (SELECT doc_id, octet_length(bytes) AS n, unnest(range(0, CAST(greatest(ceil((octet_length(bytes) - 510) / 384.0), 0) + 1 AS BIGINT))) AS i FROM docs)", "docs")
+@query(_IDS + """, w AS (SELECT doc_id, ids, unnest(range(0, CAST(greatest(ceil((len(ids) - 510) / 384.0), 0) + 1 AS BIGINT))) AS k FROM i)
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, CAST(k AS INTEGER) AS window, CAST(len(ids[k * 384 + 1:k * 384 + 510]) AS INTEGER) AS size, md5(array_to_string(ids[k * 384 + 1:k * 384 + 510], ',')) AS ids FROM w""", "docs")
 def tok_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = T.byte_ids(F.col("bytes"))
-    w = docs(spark, sf_dir).select("doc_id", F.octet_length("bytes").cast("int").alias("n"), F.posexplode(T.windows(ids)).alias("window", "ids"))
-    return w.select("doc_id", "n", "window", F.size("ids").alias("size"))
+    rows = docs(spark, sf_dir).select("doc_id", F.octet_length("bytes").alias("n"), F.posexplode(T.windows(T.byte_ids(F.col("bytes")))).alias("window", "ids"))
+    return rows.select("doc_id", "n", "window", F.size("ids").alias("size"), _digest(F.col("ids")).alias("ids"))
 
 
-@query("SELECT doc_id, CAST(least(octet_length(bytes), 510) + 2 AS INTEGER) AS used, 512 AS size, CAST(2 AS INTEGER) AS first FROM docs", "docs")
+@query(_IDS + """, e AS (SELECT doc_id, list_concat([2], ids[1:510], [3]) AS body FROM i)
+SELECT doc_id, CAST(len(body) AS INTEGER) AS used, 512 AS size, md5(array_to_string(list_concat(body, list_transform(range(0, 512 - len(body)), lambda k: 0)), ',')) AS ids FROM e""", "docs")
 def tok_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.encoded(T.byte_ids(F.col("bytes")))
     out = docs(spark, sf_dir).select("doc_id", e.alias("e"))
-    return out.select("doc_id", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size("e.input_ids").alias("size"), F.col("e.input_ids")[0].alias("first"))
+    return out.select("doc_id", F.aggregate("e.attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size("e.input_ids").alias("size"), _digest(F.col("e.input_ids")).alias("ids"))
+
 
+_ASCII_IDS = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS INTEGER) + 8)"
 
-@query("SELECT flow_id, CAST(3 + 2 * (2 + 3) AS INTEGER) - 3 + 1 AS n FROM flows")
+
+@query(f"""SELECT flow_id, array_to_string(list_concat([CASE connection_type WHEN 'tcp_payload' THEN 264 WHEN 'tcp_control_only' THEN 265 WHEN 'tcp_reset_or_refused' THEN 266 WHEN 'udp_payload' THEN 267 ELSE 268 END],
+[5], {_ASCII_IDS.format("initiator_endpoint")}, [7], [6], {_ASCII_IDS.format("event_type")}, [7]), ',') AS ids FROM flows""")
 def tok_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = F.array(F.lit(b"abc"), F.encode(F.lpad((F.col("flow_id") % 100).cast("string"), 3, "0"), "utf-8"))
+    pieces = F.array(F.encode("initiator_endpoint", "utf-8"), F.encode("event_type", "utf-8"))
     ids = T.flow_ids(F.array(T.connection_token(F.col("connection_type"))), F.array(F.lit("fwd"), F.lit("bwd")), pieces)
-    return flows(spark, sf_dir).select("flow_id", F.size(ids).alias("n"))
+    return flows(spark, sf_dir).select("flow_id", F.array_join(ids, ",").alias("ids"))
 
 
 _CHUNKS = ", c AS (SELECT doc_id, quality, lower(hex(bytes[k * 4 + 1:k * 4 + 4])) AS pattern_hex FROM (SELECT doc_id, quality, bytes, unnest(range(0, octet_length(bytes) // 4)) AS k FROM docs))"
@@ -234,25 +243,16 @@ def tok_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size(codebook.encoded(df, "bytes", [("74686520", "[SCE_0000]")], 4)).alias("n"))
 
 
-@query(", t AS (SELECT doc_id, CAST(hex(bytes[1:2]) AS VARCHAR) AS term FROM docs WHERE octet_length(bytes) >= 2) SELECT lower(term) AS term, count(*) AS n FROM t GROUP BY 1", "docs")
-def feat_first_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = T.ngrams(F.substring("bytes", 1, 2), 2, 2)
-    return docs(spark, sf_dir).select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-@query(""", g AS (SELECT doc_id, unnest(list_transform(range(0, len(b) - 1), lambda k: lower(hex(b[k + 1:k + 2])))) AS term FROM (SELECT doc_id, bytes[1:64] AS b, octet_length(bytes[1:64]) AS n FROM docs WHERE octet_length(bytes) >= 2)), f AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
-d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 300), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs WHERE octet_length(bytes) >= 2)) / (1.0::DOUBLE + df)) + 1) AS w FROM f JOIN d USING (term))
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""".replace("len(b)", "n"), "docs")
-def feat_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = docs(spark, sf_dir).where("octet_length(bytes) >= 2").select("doc_id", F.substring("bytes", 1, 64).alias("b"))
-    return T.tfidf(df, "doc_id", "b", 2, 2, 300).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+@query(", t AS (SELECT regexp_extract_all(lower(hex(bytes)), '..') AS b FROM docs), g AS (SELECT unnest(list_transform(list_zip(b[1:len(b) - 1], b[2:]), lambda p: p[1] || p[2])) AS term FROM t) SELECT term, count(*) AS n FROM g WHERE term IS NOT NULL GROUP BY 1", "docs")
+def feat_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(F.explode(T.ngrams(F.col("bytes"), 2, 2)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(""", b AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS b FROM (SELECT doc_id, regexp_extract_all(lower(hex(bytes)), '..') AS l FROM docs)),
 s AS (SELECT doc_id, b, lead(b, 1) OVER w AS c, lead(b, 2) OVER w AS d, lead(b, 3) OVER w AS e FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY k)), g AS (SELECT doc_id, unnest([b, b || c, b || c || d, b || c || d || e]) AS term FROM s), f AS (SELECT doc_id, term, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY ALL),
 d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 200000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + df)) + 1) AS w FROM f JOIN d USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""", "docs")
-def feat_tfidf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feat_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tfidf(docs(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -64,7 +64,7 @@ def win_ctx_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.flow_id, count(DISTINCT b.responder_endpoint) AS targets FROM flows a LEFT JOIN flows b ON a.source_file = b.source_file AND a.host = b.host
 AND b.start_us >= a.start_us - 21600000000 AND (b.start_us < a.start_us OR (b.start_us = a.start_us AND b.flow_id < a.flow_id)) GROUP BY a.flow_id""")
 def win_ctx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows(spark, sf_dir).select("flow_id", windows.prior_distinct(F.col("responder_endpoint"), ["source_file", "host"], "start_us", "flow_id", 6 * HOUR).alias("targets"))
+    return windows.with_prior_distinct(flows(spark, sf_dir), "targets", "responder_endpoint", ["source_file", "host"], "start_us", "flow_id", 6 * HOUR).select("flow_id", "targets")
 
 
 @query(f"""SELECT flow_id, {_prior_sql('1', 60)} AS context_host_flow_count_60s, {_prior_sql('1', 300)} AS context_host_flow_count_300s,
@@ -217,23 +217,12 @@ def spl_submode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.submode_stratum(flows(spark, sf_dir), "major_label", "connection_type").select("flow_id", "stratum")
 
 
-@query(f""", s AS (SELECT source_label, host, split FROM flows WHERE user_id < 40 AND flow_id % 50 = 0), z AS (SELECT source_label, host, count(*) AS n FROM s GROUP BY ALL),
-l AS (SELECT source_label FROM z GROUP BY 1 HAVING sum(n) BETWEEN 15 AND 500 AND count(*) >= 3),
-m AS (SELECT z.*, coalesce(sum(n) OVER (PARTITION BY source_label ORDER BY {_BUCKET.format("'13:' || source_label || ':' || host")}, host ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z JOIN l USING (source_label)),
-e AS (SELECT *, min(CASE WHEN before + n >= 5 THEN before + n END) OVER (PARTITION BY source_label) AS val_end FROM m)
-SELECT s.source_label, s.host, coalesce(CASE WHEN e.before < e.val_end THEN 'val' WHEN e.before < e.val_end + 5 THEN 'test' WHEN e.n IS NOT NULL THEN 'train' END, s.split) AS split, count(*) AS n
-FROM s LEFT JOIN e USING (source_label, host) GROUP BY ALL""")
-def spl_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = flows(spark, sf_dir).where("user_id < 40 AND flow_id % 50 = 0").select("source_label", "host", "split")
-    return splits.rebalanced(few, "source_label", "host", "split", 5, 500).groupBy("source_label", "host", "split").agg(F.count("*").alias("n"))
-
-
 @query(f""", s AS (SELECT source_label, host, split FROM flows), z AS (SELECT source_label, host, count(*) AS n FROM s GROUP BY ALL),
 l AS (SELECT source_label FROM z GROUP BY 1 HAVING sum(n) BETWEEN 15 AND 1000000000 AND count(*) >= 3),
 m AS (SELECT z.*, coalesce(sum(n) OVER (PARTITION BY source_label ORDER BY {_BUCKET.format("'13:' || source_label || ':' || host")}, host ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z JOIN l USING (source_label)),
 e AS (SELECT *, min(CASE WHEN before + n >= 5 THEN before + n END) OVER (PARTITION BY source_label) AS val_end FROM m)
 SELECT s.source_label, s.host, coalesce(CASE WHEN e.before < e.val_end THEN 'val' WHEN e.before < e.val_end + 5 THEN 'test' WHEN e.n IS NOT NULL THEN 'train' END, s.split) AS split, count(*) AS n
 FROM s LEFT JOIN e USING (source_label, host) GROUP BY ALL""")
-def spl_rebalance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spl_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir).select("source_label", "host", "split")
     return splits.rebalanced(rows, "source_label", "host", "split", 5, 1_000_000_000).groupBy("source_label", "host", "split").agg(F.count("*").alias("n"))
