@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
-from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +38,19 @@ def train_linear(df: DataFrame, label: str, labels: list[str], kind: str = "logi
     return Pipeline(stages=stages).fit(rows)
 
 
+def loaded(path: str) -> PipelineModel:
+    """A baseline that train_linear() made and its write() saved."""
+    return PipelineModel.load(path)
+
+
+def predicted(model: PipelineModel, df: DataFrame, data: str) -> DataFrame:
+    """df with pred_label and, if the learner has them, probabilities as array pred_probs; intermediate columns go."""
+    # The first stage numbers the true labels, which only training needs.
+    rows = PipelineModel(model.stages[1:]).transform(with_terms(df, data))
+    probs = [vector_to_array("probability").alias("pred_probs")] if "probability" in rows.columns else []
+    return rows.select(*[c for c in df.columns if c != "pred_label"], "pred_label", *probs)
+
+
 def scored(df: DataFrame, ids: str, make: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: int, batch: int = 128) -> Column:
     """Array of class scores of a column of equally long id arrays; make is called once in each worker and gives the model."""
     size = df.select(F.size(ids)).first()[0]

@@ -41,10 +41,11 @@ def test_closing_flags(spark):
     assert [r["packet_count"] for r in flow_rows(spark, fins, closing=True)] == [2, 1]
 
 
-def test_resets_stay_one_session_by_default(spark):
-    rows = [(k + 0.1 * j, j == 0, "S" if j == 0 else "RA", b"abc") for k in range(3) for j in range(2)]
-    (r,) = flow_rows(spark, rows)
-    assert (r["packet_count"], r["payload_byte_length"], r["connection_type"]) == (6, 18, "tcp_payload")
+def test_resets_end_a_session_only_if_asked_to(spark):
+    rows = [(10.0, True, "S", b""), (10.2, False, "R", b""), (13.0, True, "PA", b"hello"), (13.5, False, "A", b"")]
+    (one,) = flow_rows(spark, rows)
+    assert (one["packet_count"], one["payload_byte_length"], one["start_time"], one["end_time"], one["connection_type"]) == (4, 5, 10.0, 13.5, "tcp_payload")
+    assert [r["packet_count"] for r in flow_rows(spark, rows, closing=True)] == [2, 2]
 
 
 def test_cap_keeps_counting(spark):
@@ -61,9 +62,10 @@ def test_reset_without_payload(spark):
 
 def test_context_with_ties(spark):
     random.seed(2)
-    rows = [(k, "h", random.choice([0, 30, 60, 61, 100]) * 1_000_000, random.choice(["a", "b"])) for k in range(40)]
+    rows = [(k, "h", random.choice([0, 30, 60, 61, 100]) * 1_000_000, random.choice(["a", "b", "c", None])) for k in range(60)]
     df = spark.createDataFrame(rows, "o long, h string, t long, v string")
-    got = df.select("o", windows.prior(F.lit(1), ["h"], "t", "o", 60).alias("n"), windows.prior_distinct(F.col("v"), ["h"], "t", "o", 60).alias("d")).collect()
+    got = windows.with_prior_distinct(df.withColumn("n", windows.prior(F.lit(1), ["h"], "t", "o", 60)), "d", "v", ["h"], "t", "o", 60).collect()
+    assert len(got) == len(rows)
     for r in got:
         _, _, t, _ = rows[r["o"]]
         before = [x for x in rows if t - 60_000_000 <= x[2] and (x[2], x[0]) < (t, r["o"])]
@@ -91,6 +93,32 @@ def test_nearest_label_ties(spark):
     assert got == {0: ("after1", 10.0), 1: ("before", None)}
 
 
+def test_nearest_label_of_a_hot_key(spark):
+    """Against all pairs, with many equal times, records without time and keys without timed records."""
+    random.seed(7)
+    flows = [(k, random.choice("aaab"), random.choice([None, *range(0, 400, 7)])) for k in range(300)]
+    labels = [(random.choice("aaa"), random.choice([None, *range(0, 400, 5)]), f"l{k}", k) for k in range(200)] + [("b", None, "only", 1000), ("b", None, "later", 1001)]
+    f = spark.createDataFrame([(k, key, None if t is None else float(t)) for k, key, t in flows], "f long, k string, t double")
+    m = spark.createDataFrame([(key, None if t is None else float(t), name, o) for key, t, name, o in labels], "k string, lt double, l string, o long")
+    got = {r["f"]: (r["label"], r["delta"]) for r in asof.nearest_label(f, m, ["k"], "f", "t", "lt", "l", "o", 9.0).collect()}
+    want = {}
+    for k, key, t in flows:
+        own = [x for x in labels if x[0] == key]
+        timed = [x for x in own if x[1] is not None]
+        if t is None or not timed:
+            want[k] = (min(own, key=lambda x: x[3])[2], None)
+        elif near := [x for x in timed if abs(x[1] - t) <= 9]:
+            best = min(near, key=lambda x: (abs(x[1] - t), -x[1], x[3] if x[1] >= t else -x[3]))
+            want[k] = (best[2], float(abs(best[1] - t)))
+    assert got == want
+
+
+def test_afternoon_times(spark):
+    df = spark.createDataFrame([("Friday-Afternoon.csv", 3600.0 * 3), ("full.csv", 3600.0 * 9), ("full.csv", 3600.0 * 7), ("x.csv", 3600.0)], "file string, s double")
+    got = [r[0] / 3600 for r in df.select(asof.afternoon(F.col("s"), F.col("file"), {"afternoon": 12, "full": 8})).collect()]
+    assert got == [15, 9, 19, 1]
+
+
 def test_two_way_label(spark):
     flows = spark.createDataFrame([(0, "a", "b", 103.0), (1, "a", "b", 101.5)], "f long, x string, y string, t double")
     labels = spark.createDataFrame([("a", "b", 100.0, "ddos", 0), ("b", "a", 103.0, "benign", 1)], "p string, q string, lt double, l string, o long")

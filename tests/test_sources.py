@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import models
+from millrace.operators import metrics, models
 from millrace.sources import pcap, sinks, tables
 from millrace.streaming import flows as streams
 
@@ -86,11 +86,13 @@ def test_zip_config_json(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text("- 1\n")
     with pytest.raises(ValueError):
         tables.load_config(str(tmp_path / "bad.yaml"))
-    sinks.append_json_line(str(tmp_path / "l.jsonl"), {"a": 1})
-    assert tables.read_json_lines(spark, str(tmp_path / "l.jsonl"), "a int", 5).first()[0] == 1
-    sinks.write_json(str(tmp_path / "m" / "m.json"), {"p": [1]})
+    for step in (1, 2):
+        sinks.append_records(spark.createDataFrame([(step,)], "a int"), str(tmp_path / "steps"))
+    assert sorted(r[0] for r in tables.read_json_lines(spark, str(tmp_path / "steps"), "a int", 5).collect()) == [1, 2]
+    sinks.put_text(spark, str(tmp_path / "m" / "m.json"), json.dumps({"p": [1]}))
     assert tables.is_fresh(str(tmp_path / "m" / "m.json"), {"p": [1]}) and not tables.is_fresh(str(tmp_path / "m" / "m.json"), {"p": [1], "q": 2})
-    assert sinks.flattened({"a": {"b": 1}, "c": 2}) == {"a_b": 1, "c": 2}
+    nested = spark.sql("SELECT named_struct('b', 1, 'd', named_struct('e', 2)) AS a, 3 AS c")
+    assert sinks.flat(nested).first().asDict() == {"a_b": 1, "a_d_e": 2, "c": 3}
 
 
 def test_sinks(spark, tmp_path):
@@ -104,6 +106,17 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text()) == [{"k": 1}, {"k": 2}]
 
 
+def test_metric_exports(spark, tmp_path):
+    df = spark.createDataFrame([("benign", "benign"), ("scan", "benign"), ("scan", "scan"), ("other", "scan")], "t string, g string")
+    labels = ["benign", "scan", "bot"]
+    pairs = metrics.confusion(df, "t", "g", labels)
+    sinks.write_metrics(str(tmp_path / "m"), metrics.major_metrics(df, "t", "g", labels), metrics.per_class(df, "t", "g", labels), pairs, metrics.detection(df, "t", "g"), labels)
+    assert (tmp_path / "m" / "confusion.csv").read_text().splitlines() == ["true_label,benign,scan,bot", "benign,1,0,0", "scan,1,1,0", "bot,0,0,0"]
+    assert (tmp_path / "m" / "confusion_normalized.csv").read_text().splitlines()[2] == "scan,0.5,0.5,0.0"
+    assert json.loads((tmp_path / "m" / "detection.json").read_text())[0]["tp"] == 2
+    assert len((tmp_path / "m" / "per_class.csv").read_text().splitlines()) == 4
+
+
 def drained(query):
     query.processAllAvailable()
     query.stop()
@@ -122,9 +135,13 @@ def test_streams(spark, tmp_path):
     assert got[:2] == [("h", 1), ("h", 2)]
 
 
-def test_linear_model(spark):
+def test_linear_model(spark, tmp_path):
     df = spark.createDataFrame([(b"aaaa", "x"), (b"aaab", "x"), (b"zzzz", "y"), (b"zzzy", "y")] * 3, "b binary, l string")
     rows = models.with_terms(df, "b", 1, 2)
     for kind in ("logistic", "hinge"):
         got = models.train_linear(rows, "l", ["x", "y"], kind, 100).transform(rows)
         assert got.where("pred_label = l").count() == 12
+    model = models.train_linear(models.with_terms(df, "b"), "l", ["x", "y"])
+    model.write().overwrite().save(str(tmp_path / "model"))
+    found = models.predicted(models.loaded(str(tmp_path / "model")), df.drop("l"), "b").collect()
+    assert [r["pred_label"] for r in found] == [r["l"] for r in df.collect()] and all(abs(sum(r["pred_probs"]) - 1) < 1e-6 for r in found)
