@@ -118,7 +118,7 @@ def spans_of(text: Column, model: list[float], threshold: float = THRESHOLD) ->
 
 
 def with_spans(df: DataFrame, model: list[float], text_col: str = "text", spans_col: str = "secret_spans", threshold: float = THRESHOLD) -> DataFrame:
-    """df with its texts' spans in one more column."""
+    """df with its texts' spans in one more column; a column that has its name already is replaced, so name another one to keep it."""
     return df.withColumn(spans_col, spans_of(F.coalesce(F.col(text_col), F.lit("")), model, threshold))
 
 

@@ -25,6 +25,12 @@ def test_stages(spark, data, tmp_path):
     assert neardup.keep_one(before.limit(0)).count() == 0
 
 
+def test_stages_on_an_empty_table(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
 def test_sql(spark, data):
     from millrace.llm.queries import ORACLE_SQL, QUERIES
     from tests import oracle

@@ -82,5 +82,13 @@ def test_prose_has_few_random_strings(spark, data):
     assert secrets.digests(df).where("spans LIKE '%random%'").count() <= 0.02 * df.count()
 
 
+def test_clashing_span_column(spark):
+    df = table(spark, [(0, "x@y.zz")]).withColumn("pii_spans", pii.F.lit("mine"))
+    assert [s["kind"] for s in pii.with_spans(df).first()["pii_spans"]] == ["email"]
+    kept = pii.with_spans(df, spans_col="found").first()
+    assert kept["pii_spans"] == "mine" and len(kept["found"]) == 1
+    assert pii.redact(df).columns == df.columns and pii.digests(df).first()["n_email"] == 1
+
+
 def test_empty_tables(spark):
     assert pii.digests(table(spark).where("false")).count() == secrets.digests(table(spark).where("false")).count() == 0
