@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from millrace.llm.common import as_bytes, map_batches
 from millrace.session import written
@@ -144,27 +143,17 @@ def digests(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df, all their columns, whose score reaches the threshold; all rows if a class has no training rows.
 
-    Features are computed once: they are written beside the rows, for fitting and for scoring.
+    The rows that may train are read for fitting, and all rows for scoring, so features of three quarters of the rows are computed twice.
+    Writing them beside the rows instead would take a second copy of all texts, which has to stay until the result is read.
     """
-    x = next(n for n in ("_" * k + "x" for k in range(1, len(df.columns) + 2)) if n not in df.columns)
-    names = [*df.columns, x]
-    schema = StructType([*df.schema.fields, StructField(x, ArrayType(DoubleType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            made = pa.array([features((t or "").encode()) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=names)
-
-    rows = written(map_batches(df, run, schema), "features")
-    model = fit(training_rows(rows.select(id_col, F.col(x).alias("x")), labels, id_col))
+    model = fit(training_rows(featured(df.where(~held_out(id_col)), id_col, text_col), labels, id_col))
     if not len(model.mean):
-        return rows.drop(x)
-    columns = df.columns
+        return df
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = np.array(b.column(b.num_columns - 1).to_pylist(), np.float64).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(values) >= threshold)).select(columns)
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            values = np.array([features((t or "").encode()) for t in texts], np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(values) >= threshold))
 
-    return map_batches(rows, kept, df.schema)
+    return map_batches(df, kept, df.schema)
