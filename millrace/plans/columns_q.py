@@ -253,7 +253,8 @@ s AS (SELECT doc_id, b, lead(b, 1) OVER w AS c, lead(b, 2) OVER w AS d, lead(b,
 d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 200000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + df)) + 1) AS w FROM f JOIN d USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""", "docs")
 def feat_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.tfidf(docs(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    millionths = F.floor(F.col("weight") * 1e6 + 0.5).cast("double")
+    return T.tfidf(docs(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", (millionths / 1e6).alias("weight"))
 
 
 # Components.
