@@ -11,7 +11,7 @@ from millrace.functions import tokens as T
 from millrace.operators import codebook
 from millrace.operators.graph import connected_components
 from millrace.plans.registry import query
-from millrace.plans.views import docs, flows
+from millrace.plans.views import docs, flows, texts
 from millrace.session import table
 
 
@@ -254,7 +254,7 @@ d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM f GROUP BY 1 ORDER BY t
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""", "docs")
 def feat_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     millionths = F.floor(F.col("weight") * 1e6 + 0.5).cast("double")
-    return T.tfidf(docs(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", (millionths / 1e6).alias("weight"))
+    return T.tfidf(texts(spark, sf_dir), "doc_id", "bytes").select("doc_id", "term", (millionths / 1e6).alias("weight"))
 
 
 # Components.

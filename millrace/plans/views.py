@@ -62,3 +62,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     split = "CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split"
     return d.join(labels, "doc_id", "left").selectExpr("doc_id", "text", "lang", "source", "n_chars", "CAST(text AS BINARY) AS bytes", "quality", "toxic", split)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and bytes of docs(). Labels only say how often a row is there, so texts are joined to them only if an id has several."""
+    several = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if several.isEmpty():
+        return table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(text AS BINARY) AS bytes")
+    return docs(spark, sf_dir).select("doc_id", "bytes")

@@ -51,21 +51,35 @@ def test_other_lengths_and_kinds_of_keys(spark, low, high):
     assert {(r[0], r[1]): r[2] for r in found} == pytest.approx(weights(rows, 500, low, high))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_only_sums_are_shuffled(spark, data):
-    """The terms of each text are not dealt out: the plan that yields the weights has no exchange beside the join with labels."""
+    """Neither terms nor texts are dealt out: the plan that yields the weights has no exchange."""
     df = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "CAST(text AS BINARY) AS b")
-    plan = T.tfidf(df, "doc_id", "b")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Generate" not in plan
+    for found in (T.tfidf(df, "doc_id", "b"), catalog.QUERIES["feat_tfidf"](spark, data)):
+        assert "Exchange" not in plan(found) and "Generate" not in plan(found)
+
+
+def tables(spark, folder, texts, labels):
+    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
 
 
 def test_query_with_a_null_id(spark, tmp_path):
     """Ids occur once: for others the SQL's windows leave open which text's byte is next."""
-    texts = [(1, "one text, one more"), (2, None), (None, "no id, again no id"), (3, ""), (4, "one text")]
-    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tables(spark, tmp_path, [(1, "one text, one more"), (2, None), (None, "no id, again no id"), (3, ""), (4, "one text")], [(1, 0, 1), (4, 1, 0), (None, 1, 1), (None, 1, 1)])
     df = catalog.QUERIES["feat_tfidf"](spark, str(tmp_path))
     c = duckdb.connect()
     for t in ("documents", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     sql = c.sql(SQL)
     assert oracle.rows(df.columns, df.collect()) == oracle.rows(list(sql.columns), sql.fetchall())
+
+
+def test_query_with_several_labels_of_an_id(spark, tmp_path):
+    tables(spark, tmp_path, [(1, "one text"), (2, "one more"), (3, None)], [(1, 0, 1), (1, 1, 1), (2, 1, 1)])
+    found = catalog.QUERIES["feat_tfidf"](spark, str(tmp_path)).collect()
+    wanted = weights([(1, b"one text"), (1, b"one text"), (2, b"one more"), (3, None)], 200_000)
+    assert {(r[0], r[1]): r[2] for r in found} == pytest.approx(wanted, abs=6e-7)
