@@ -20,6 +20,8 @@ CONTEXT_STEPS = ("0", "1", "2_4", "5_9", "10_19", "20_49", "50_PLUS")
 # End of the fixed values.
 #: Bytes of text whose runs are counted by one sort; a longer text is counted piece by piece. Runs that a task holds before it merges or hands on their sums.
 PIECE, HELD_RUNS = 1 << 16, 1 << 20
+#: Rows that are sent to a counting worker at once, at most.
+BATCH_ROWS = 500
 PAD, UNK, CLS, SEP, MASK, FWD, BWD, END = range(8)
 FIRST_BYTE, FIRST_CONNECTION = 8, 264
 FIRST_CONTEXT = FIRST_CONNECTION + len(CONNECTIONS)
@@ -243,6 +245,7 @@ def tfidf(df: DataFrame, key: str, data: str, low: int = 1, high: int = 4, terms
     """
     if not 1 <= low <= high <= 7:
         raise ValueError("runs have 1 to 7 bytes")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = df.select(F.col(key), F.col(data).cast("binary").alias("data"))
     several = df.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
     again = None
