@@ -8,10 +8,12 @@ from collections import Counter
 import io
 import itertools
 import math
+import os
 import wave
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from millrace.llm import bpe, decontam, lm, media, quality, shards
@@ -223,6 +225,46 @@ def test_lm_gradient():
         assert abs(slope - grad[k]) < 1e-4 + 1e-3 * abs(slope)
 
 
+def test_lm_gradient_of_weights_with_large_logits():
+    flat, rng = random_weights(5, 0.1)
+    x, y = rng.integers(0, lm.CLASSES, (2, lm.WIDTH, 2)), rng.integers(-1, lm.CLASSES, (2, lm.STRIDE))
+    w = lm.unpacked(flat)
+    w["bias"] += rng.normal(0, 400, lm.CLASSES)
+    loss, grad = lm.loss_gradient(flat, x, y)
+    logits = lm.forward(lm.unpacked(flat), x)[0].reshape(-1, lm.CLASSES)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    at = np.flatnonzero(y.ravel() >= 0)
+    top = logits.max(axis=1)
+    plain = (np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top - logits[np.arange(len(top)), y.ravel()])[at].mean()
+    p[at, y.ravel()[at]] -= 1
+    assert abs(loss - plain) < 1e-9 * abs(plain) and np.allclose(lm.unpacked(grad)["bias"], p[at].sum(axis=0) / len(at))
+
+
+def test_lm_room_is_used_again():
+    """Wide arrays are taken once for batches of all sizes, and results do not depend on what was in them."""
+    flat, rng = random_weights(6, 0.2)
+    w, room = lm.unpacked(flat.astype(np.float32)), lm.Room()
+    parts = [rng.integers(0, lm.CLASSES, (n, lm.WIDTH, 2)) for n in (5, 2, 5)]
+    found = [lm.forward(w, x, room)[0].copy() for x in parts]
+    held = {k: id(v) for k, v in room.held.items()}
+    assert all((lm.forward(w, x)[0] == f).all() for x, f in zip(parts, found, strict=True))
+    lm.forward(w, parts[1], room)
+    assert held == {k: id(v) for k, v in room.held.items()}
+
+
+def test_lm_keeps_the_scorer_from_task_to_task(spark):
+    def run(batches):
+        for b in batches:
+            made = []
+            lm.kept_in_worker("a number", lambda: made.append(1) or "scorer")
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(made)])], names=["worker", "made"])
+
+    found = spark.range(0, 12, 1, 12).mapInArrow(run, "worker long, made long").collect()
+    workers = {r["worker"] for r in found}
+    assert len(workers) < 12 and sum(r["made"] for r in found) == len(workers)
+
+
 def test_lm_attends_to_the_past_only_and_sums_to_one():
     flat, rng = random_weights(1, 0.2)
     w = lm.unpacked(flat.astype(np.float32))
