@@ -241,6 +241,27 @@ def test_lm_gradient_of_weights_with_large_logits():
     assert abs(loss - plain) < 1e-9 * abs(plain) and np.allclose(lm.unpacked(grad)["bias"], p[at].sum(axis=0) / len(at))
 
 
+def test_lm_gradient_by_parts_of_rows():
+    """Windows together, more rows than are worked on at once, give what they give one by one, also if only some rows have large logits."""
+    flat, rng = random_weights(8, 0.3)
+    n = 2 * lm.ROWS_AT_ONCE // lm.STRIDE + 1
+    x, y = rng.integers(0, lm.CLASSES - 1, (n, lm.WIDTH, 2)), rng.integers(-1, lm.CLASSES, (n, lm.STRIDE))
+    lm.unpacked(flat)["first"][-1] = 300
+    x[-2, lm.CONTEXT + 5 :: 3, 0] = lm.CLASSES - 1
+    assert np.abs(lm.forward(lm.unpacked(flat), x[-2:-1])[0]).max() > 150 > np.abs(lm.forward(lm.unpacked(flat), x[:-2])[0]).max()
+    counts = (y >= 0).sum(axis=1)
+    each = [lm.loss_gradient(flat, x[k : k + 1], y[k : k + 1]) for k in range(n)]
+    loss, grad = lm.loss_gradient(flat, x, y)
+    want = sum(c * g for c, (_, g) in zip(counts, each, strict=True)) / counts.sum()
+    assert np.isclose(loss, sum(c * e for c, (e, _) in zip(counts, each, strict=True)) / counts.sum()) and np.allclose(grad, want, rtol=1e-6, atol=1e-9 * np.abs(want).max())
+    w = lm.unpacked(flat)
+    logits = lm.forward(w, x)[0]
+    top = logits.max(axis=-1)
+    at = np.maximum(y, 0)
+    plain = (np.take_along_axis(logits, at[:, :, None], axis=2)[:, :, 0] - top - np.log(np.exp(logits - top[:, :, None]).sum(axis=-1))) / math.log(10)
+    assert np.allclose(lm.log10_probabilities(w, x, at, 2), plain, rtol=1e-5, atol=1e-5)
+
+
 def test_lm_room_is_used_again():
     """Wide arrays are taken once for batches of all sizes, and results do not depend on what was in them."""
     flat, rng = random_weights(6, 0.2)
@@ -384,6 +405,23 @@ def test_lm_scores_equal_brute_force(spark, data, monkeypatch):
     assert lower("ÀB") == "Àb"
 
 
+def test_lm_reads_texts_twice(spark):
+    """Training texts are read to count their words, and all texts once more; training and scoring go on from their classes."""
+    path, _ = pieces(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(k, f"a text of few words {k} " * 20) for k in range(40)], "doc_id long, text string").coalesce(2)
+    training = docs.where(~lm.held_out("doc_id")).count()
+    seen = docs.mapInArrow(counted, docs.schema)
+    assert lm.scores(seen, path).count() == 40 and 0 < training < 40
+    assert read.value == 2 * 40
+
+
 def test_lm_learns_from_context(spark):
     """Held-out texts: the trained network is better than the same lexicon with the classes' frequencies alone."""
     path, _ = pieces(spark)
