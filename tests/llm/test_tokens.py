@@ -405,6 +405,17 @@ def test_lm_scores_equal_brute_force(spark, data, monkeypatch):
     assert lower("ÀB") == "Àb"
 
 
+def test_lm_tokens_of_a_batch():
+    """Words of all texts at once are those of each text, whatever is at its ends and between them."""
+    odd = ["".join(map(chr, range(256))), "", " ", "\t\n a\x0b\x0cB \r", "\x1c\x85x\xa0Y\u2003z\u2028", "É ß İ Ⅷ ﬁ K", "a A  a", "\n", "x\n\nX"]
+    texts = [t.encode() for t in odd] + [f" {t} ".encode() for t in odd]
+    for kind in (pa.binary(), pa.large_binary()):
+        for part in (slice(0, len(texts)), slice(3, 9), slice(1, 2), slice(0, 0)):
+            found, at, sizes = lm.tokens_of(pa.array([b"none", *texts], kind)[1:][part])
+            assert [found[k] for k in at] == [w for t in texts[part] for w in lm.words_of(t)] and sizes.tolist() == [len(lm.words_of(t)) for t in texts[part]]
+            assert len(set(found)) == len(found) and set(found) - {lm.END} <= set(found[k] for k in at)
+
+
 def test_lm_reads_texts_twice(spark):
     """Training texts are read to count their words, and all texts once more; training and scoring go on from their classes."""
     path, _ = pieces(spark)
